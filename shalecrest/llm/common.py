@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder that all executors share and forget how it came about.
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    temporary folder is used, once a session.
+    Where that is unset (tests on one machine) a temporary folder is used, one a session.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shalecrest-"))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shalecrest-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a table in the shared folder and forget how it came about."""
+    path = f"{shared(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def col(name: str):
@@ -29,15 +36,6 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def boxed(df: DataFrame, name: str = "_row") -> DataFrame:
-    """All columns of ``df`` as one struct, so that columns added beside it can't clash with any of them."""
-    return df.select(F.struct(*[col(c) for c in df.columns]).alias(name))
-
-
-def unboxed(df: DataFrame, columns: list[str], name: str = "_row") -> DataFrame:
-    return df.select(*[F.col(name).getField(c).alias(c) for c in columns])
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the undirected ``edges``; root is the component's least node.
 
