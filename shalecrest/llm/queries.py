@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from shalecrest.llm import bpe, packing, pii, quality, simhash
+from shalecrest.llm import bpe, chat, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op3_simhash": simhash.query,
+    "op5_chat": chat.query,
     "op7_quality": quality.query,
+    "op8_urls": urls.query,
     "op9_pii": pii.query,
     "op10_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_chat": chat.SQL, "op8_urls": urls.SQL}
 
 
 def pipeline(spark, sf_dir: str):
