@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import os
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +42,7 @@ def default_vocabulary() -> str:
 class Transducer:
     """The transducer of one vocabulary. ``states`` bounds what is kept; beyond it the cache starts anew."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 400_000):
         self.ranks, self.most = ranks, states
         self.bytes_of = {t: b for b, t in ranks.items()}
         self.size = max(self.bytes_of, default=-1) + 1
@@ -58,64 +60,211 @@ class Transducer:
                 node = self.trie[node][x]
             self.ends[node] = t
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.sets: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple]]] = []
+        self.hyps: dict[tuple, tuple] = {}  # states share their members
+        self.steps: dict[int, tuple[int, tuple]] = {}  # by state x 256 + byte
         self.finals: list[tuple | None] = []
+        # the same transitions as arrays, for many words at once: an open table of keys, and where outputs lie in a pool
+        self.bits = 19
+        self._table()
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        self.final_at, self.final_n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.known = 0  # states whose final output is in the pool
         self.state(((-1, 0, ()),))
 
-    def merge(self, b: bytes) -> list[int]:
-        """The merges by definition: the pair of least rank first, the leftmost of equals."""
+    def _table(self) -> None:
+        n = 1 << self.bits
+        self.keys = np.full(n, -1, np.int64)
+        self.next, self.out_at, self.out_n = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.filled = 0
+
+    def _keep(self, out: tuple) -> int:
+        """Put tokens into the pool."""
+        at = self.used
+        if at + len(out) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[at : at + len(out)] = out
+        self.used += len(out)
+        return at
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The places of keys in the table; -1 where one isn't there."""
+        last = (1 << self.bits) - 1
+        place = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[place]
+        open_ = np.flatnonzero((there != keys) & (there != -1))
+        while len(open_):
+            place[open_] = (place[open_] + 1) & last
+            there = self.keys[place[open_]]
+            open_ = open_[(there != keys[open_]) & (there != -1)]
+        return np.where(self.keys[place] == keys, place, -1)
+
+    def _insert(self, keys: np.ndarray) -> None:
+        """Distinct keys that aren't there, with their transitions."""
+        if 2 * (self.filled + len(keys)) > 1 << self.bits:
+            old = self.keys >= 0
+            kept = self.keys[old], self.next[old], self.out_at[old], self.out_n[old]
+            while 2 * (self.filled + len(keys)) > 1 << self.bits:
+                self.bits += 1
+            self._table()
+            self._place(*kept)
+        rows = []
+        for key in keys.tolist():
+            step = self.steps.get(key) or self.follow(key)
+            rows.append((step[0], self._keep(step[1]) if step[1] else 0, len(step[1])))
+        n = np.array(rows, np.int64).reshape(-1, 3)
+        self._place(keys, n[:, 0], n[:, 1], n[:, 2])
+
+    def _place(self, keys: np.ndarray, nxt: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        last = (1 << self.bits) - 1
+        places = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            open_ = self.keys[places[left]] == -1
+            self.keys[places[left[open_]]] = keys[left[open_]]  # of several for one place the last stays
+            left = left[self.keys[places[left]] != keys[left]]
+            places[left] = (places[left] + 1) & last
+        self.next[places], self.out_at[places], self.out_n[places] = nxt, at, n
+        self.filled += len(keys)
+
+    def words(self, pretokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, ends): what ``word`` gives for each, one after the other; all advance together, byte by byte."""
+        if len(self.sets) > self.most:
+            self.reset()
+        n = len(pretokens)
+        size = np.array([len(b) for b in pretokens], np.int64)
+        joined = np.frombuffer(b"".join(pretokens), np.uint8).astype(np.int64)
+        order = np.argsort(-size, kind="stable")
+        at = (np.cumsum(size) - size)[order]
+        size = size[order]
+        state = np.zeros(n, np.int64)
+        who, where, many = [], [], []
+        for j in range(int(size[0]) if n else 0):
+            active = int(np.searchsorted(-size, -j, "left"))
+            key = (state[:active] << 8) | joined[at[:active] + j]
+            place = self._find(key)
+            if (place < 0).any():
+                self._insert(np.unique(key[place < 0]))
+                place = self._find(key)
+            state[:active] = self.next[place]
+            wrote = np.flatnonzero(self.out_n[place])
+            who.append(order[wrote])
+            where.append(self.out_at[place[wrote]])
+            many.append(self.out_n[place[wrote]])
+        if len(self.sets) > len(self.final_at):
+            more = np.zeros(2 * len(self.sets) - len(self.final_at), np.int64)
+            self.final_at, self.final_n = np.concatenate([self.final_at, more]), np.concatenate([self.final_n, more])
+        for i in range(self.known, len(self.sets)):
+            out = self.finals[i] or ()
+            self.final_at[i], self.final_n[i] = self._keep(out), len(out)
+        self.known = len(self.sets)
+        who.append(order)
+        where.append(self.final_at[state])
+        many.append(self.final_n[state])
+        who_, where_, many_ = np.concatenate(who), np.concatenate(where), np.concatenate(many)
+        by_word = np.argsort(who_, kind="stable")
+        who_, where_, many_ = who_[by_word], where_[by_word], many_[by_word]
+        tokens = self.pool[np.repeat(where_ - (np.cumsum(many_) - many_), many_) + np.arange(many_.sum())]
+        return tokens, np.cumsum(np.bincount(who_, many_, n)).astype(np.int64)
+
+    def merge(self, b: bytes, below: int = 1 << 60) -> list[int]:
+        """The merges by definition: the pair of least rank first, the leftmost of equals; those of rank ``below`` on are left out."""
         parts = [b[i : i + 1] for i in range(len(b))]
         rank = self.ranks.get
         while len(parts) > 1:
             r, i = min((rank(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if r == 1 << 60:
+            if r >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
+    def parts(self, t: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of token t joins; none for a single byte."""
+        if t not in self.halves:
+            b = self.bytes_of[t]
+            if len(b) == 1:
+                self.halves[t] = None
+            else:
+                # the last merge is the one that is left when merging into the whole isn't allowed
+                self.halves[t] = tuple(self.merge(b, t))
+        return self.halves[t]
+
     def admissible(self, s: int, t: int) -> bool:
+        """Whether the bytes of s and t together encode to s, t: no merge across comes before those that make s and t.
+
+        Undoes the later of the merges that made the two tokens at the boundary, and asks each time whether
+        joining what then meets there would have come first.
+        """
         if s < 0:
             return True
         ok = self.pairs.get((s, t))
         if ok is None:
             if len(self.pairs) > 4 * self.most:
                 self.pairs.clear()
-            ok = self.pairs[s, t] = self.merge(self.bytes_of[s] + self.bytes_of[t]) == [s, t]
+            ok = self.pairs[s, t] = self._apart(s, t)
         return ok
 
+    def _apart(self, s: int, t: int) -> bool:
+        rank, bytes_of = self.ranks.get, self.bytes_of
+        # a merge across must come before the merge that ended s or t at the boundary; on the right an equal rank is too late
+        before_s, before_t = 1 << 60, 1 << 60
+        while True:
+            r = rank(bytes_of[s] + bytes_of[t])
+            if r is not None and r < before_s and r <= before_t:
+                return False
+            a, b = self.parts(s), self.parts(t)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and s > t):
+                before_s, s = min(before_s, s), a[1]
+            else:
+                before_t, t = min(before_t, t - 0), b[0]
+
     def state(self, hyps: tuple) -> int:
         i = self.ids.get(hyps)
         if i is None:
+            hyps = tuple([self.hyps.setdefault(h, h) for h in hyps])
             i = self.ids[hyps] = len(self.sets)
             self.sets.append(hyps)
-            self.steps.append({})
             self.finals.append(next((out for _, node, out in hyps if node == 0), None))
         return i
 
-    def follow(self, state: int, byte: int) -> tuple[int, tuple]:
-        """Make the transition: the next state and the tokens written."""
+    def follow(self, key: int) -> tuple[int, tuple]:
+        """Make the transition of a state and a byte: the next state and the tokens written."""
+        state, byte = key >> 8, key & 255
+        trie, ends, pairs = self.trie, self.ends, self.pairs
         reached = []
         for last, node, out in self.sets[state]:
-            child = self.trie[node].get(byte)
+            child = trie[node].get(byte)
             if child is None:
                 continue
-            if self.trie[child]:
+            if trie[child]:
                 reached.append((last, child, out))
-            t = self.ends[child]
-            if t >= 0 and self.admissible(last, t):
-                reached.append((t, 0, (*out, t)))
-        n = 0
-        if reached:
-            first = reached[0][2]
-            n = min(len(out) for _, _, out in reached)
-            while any(out[:n] != first[:n] for _, _, out in reached):
-                n -= 1
-        step = self.steps[state][byte] = (self.state(tuple((p, k, out[n:]) for p, k, out in reached)), reached[0][2][:n] if n else ())
+            t = ends[child]
+            if t >= 0:
+                ok = pairs.get((last, t))
+                if self.admissible(last, t) if ok is None else ok:
+                    reached.append((t, 0, (*out, t)))
+        written = ()
+        if len(reached) == 1:
+            last, node, written = reached[0]
+            reached = [(last, node, ())]
+        elif reached and all([h[2] for h in reached]):  # else one has nothing to write yet
+            outs = [h[2] for h in reached]
+            lo, hi = min(outs), max(outs)  # what these share, all share
+            n = 0
+            while n < len(lo) and lo[n] == hi[n]:
+                n += 1
+            if n:
+                written = lo[:n]
+                reached = [(last, node, out[n:]) for last, node, out in reached]
+        step = self.steps[key] = (self.state(tuple(reached)), written)
         return step
 
     def word(self, b: bytes) -> list[int]:
@@ -123,10 +272,13 @@ class Transducer:
         out: list[int] = []
         state, steps = 0, self.steps
         for x in b:
-            step = steps[state].get(x) or self.follow(state, x)
-            state = step[0]
-            if step[1]:
-                out += step[1]
+            key = (state << 8) | x
+            try:
+                state, written = steps[key]
+            except KeyError:
+                state, written = self.follow(key)
+            if written:
+                out += written
         out += self.finals[state] or ()
         if len(self.sets) > self.most:
             self.reset()
@@ -154,6 +306,36 @@ class Encoder:
             out += word(p.encode())
         return out
 
+    def prepare(self, texts: list[str]) -> None:
+        """Encode the pieces of texts that aren't in the cache, all at once."""
+        cache = self.after_space
+        cache.renew()
+        seen: set[str] = set()
+        for text in texts:
+            seen.update(text.split(" "))
+        cut, spans, missing = [], [0], []
+        for s in seen:
+            if s in cache or len(s) >= 64:
+                continue
+            old = cache.old.get(s)
+            if old is not None:
+                cache[s] = old
+                continue
+            missing.append(s)
+            cut += [(" " + s).encode()] if s.isalpha() else [p.encode() for p in self.pretokens(" " + s)]
+            spans.append(len(cut))
+        if not missing:
+            return
+        tokens, ends = self.fst.words(cut)
+        ends = np.concatenate([[0], ends])[spans] * 4
+        flat = tokens.astype("<u4").tobytes()
+        cache.update(zip(missing, map(flat.__getitem__, map(slice, ends[:-1].tolist(), ends[1:].tolist())), strict=True))
+
+    def packed_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """The ids of each text, as ``packed`` gives them."""
+        self.prepare([s for s in texts if s])
+        return [None if s is None else self.packed(s) for s in texts]
+
     def packed(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if self.uneven(text):
@@ -169,21 +351,38 @@ class Encoder:
 
 
 class _Pieces(dict):
+    """The ids of pieces after a space. When it is full it begins anew, and takes over what is asked for again."""
+
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
+        self.marks = {c: _pack(encoder.fst.word(c.encode())) for c in ".,"}
 
     def __missing__(self, s: str) -> bytes:
-        got = _pack(self.encoder.piece(" " + s))
+        got = self.old.get(s)
+        if got is None:
+            if s.isalpha():  # one pretoken
+                got = _pack(self.encoder.fst.word((" " + s).encode()))
+            elif s[-1:] in self.marks and s[:-1].isalpha():  # two
+                return self[s[:-1]] + self.marks[s[-1]]
+            else:
+                got = _pack(self.encoder.piece(" " + s))
         if len(s) < 64:
-            if len(self) >= self.encoder.kept:
-                self.clear()
+            self.renew()
             self[s] = got
         return got
 
+    def renew(self) -> None:
+        if len(self) >= self.encoder.kept:
+            self.old = dict(self)
+            self.clear()
+
 
 def _pack(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -262,8 +461,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             for at in range(0, whole.num_rows, 256):  # bounds what is held as Python strings and ids
                 batch = whole.slice(at, 256)
                 packed, n, same = [], [], []
-                for s in batch.column(1).to_pylist():
-                    b = b"" if s is None else enc.packed(s)
+                texts = batch.column(1).to_pylist()
+                for s, b in zip(texts, enc.packed_all(texts), strict=True):
+                    b = b or b""
                     packed.append(b)
                     n.append(len(b) // 4)
                     if s is None:

@@ -127,7 +127,7 @@ p AS (SELECT *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)
     length('[INST] <<SYS>>' || chr(10) || text || chr(10) || '<</SYS>>' || chr(10) || chr(10)) AS opened
   FROM t),
 one AS (SELECT conv_id, turn, role, k, n, tagged AS part, sum(length(tagged)) OVER (PARTITION BY conv_id ORDER BY k) AS e FROM p),
-two AS (SELECT conv_id, turn, role, k, n, part, sum(length(part)) OVER (PARTITION BY conv_id ORDER BY k) AS e, opened, lag(CASE WHEN role = 'system' THEN opened ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS open_before FROM p)
+two AS (SELECT conv_id, turn, role, k, n, part, sum(length(part)) OVER (PARTITION BY conv_id ORDER BY k) AS e, opened, lag(CASE WHEN role = 'system' THEN opened ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS open_before FROM p),
 lens AS (SELECT conv_id, turn, role, k, n, latest, CASE WHEN role = 'assistant' THEN length(tagged) - length(text) + 3 ELSE length(tagged) END AS short, length(tagged) AS long,
     length('<|assistant|>') + 1 AS head, max(CASE WHEN role = 'assistant' THEN k END) OVER (PARTITION BY conv_id ORDER BY k) AS answer FROM p),
 ends AS (SELECT *, sum(short) OVER (PARTITION BY conv_id ORDER BY k) AS c, lag(answer) OVER (PARTITION BY conv_id ORDER BY k) AS earlier FROM lens),
