@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from shalecrest.llm import bpe, chat, packing, pii, quality, simhash, urls
+from shalecrest.llm import bpe, chat, codec, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op3_simhash": simhash.query,
     "op5_chat": chat.query,
+    "op6_tokens": codec.query,
     "op7_quality": quality.query,
     "op8_urls": urls.query,
     "op9_pii": pii.query,
