@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shalecrest.llm import bpe, chat, codec, packing, pii, quality, simhash, urls
+from shalecrest.llm import bpe, chat, codec, embeddings, packing, pii, quality, simhash, urls, wrappers
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_embeddings": embeddings.query,
     "op3_simhash": simhash.query,
+    "op4_html": wrappers.query,
     "op5_chat": chat.query,
     "op6_tokens": codec.query,
     "op7_quality": quality.query,
@@ -15,7 +17,7 @@ QUERIES = {
     "op10_packing": packing.query,
 }
 
-ORACLE_SQL = {"op5_chat": chat.SQL, "op8_urls": urls.SQL}
+ORACLE_SQL = {"op2_embeddings": embeddings.SQL, "op5_chat": chat.SQL, "op8_urls": urls.SQL}
 
 
 def pipeline(spark, sf_dir: str):
