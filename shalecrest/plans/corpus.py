@@ -252,12 +252,12 @@ def _(t):
 
 
 @query("q24_q26_reranker_quality", """WITH j AS (SELECT d.lang, l.quality, l.toxic, d.n_chars / 1000.0 AS s FROM documents d JOIN labels l USING (doc_id))
-SELECT lang, round(avg(CASE WHEN quality = 1 THEN s END) - avg(CASE WHEN quality = 0 THEN s END), 6) AS uplift, round(coalesce(abs(corr(s, quality)), 0), 6) AS redundancy, round(avg(abs(quality - toxic)), 6) AS calibration FROM j GROUP BY lang""")
+SELECT lang, round(avg(CASE WHEN quality = 1 THEN s END) - avg(CASE WHEN quality = 0 THEN s END), 6) AS uplift, round(CASE WHEN stddev_pop(quality) = 0 OR stddev_pop(s) = 0 THEN 0 ELSE coalesce(abs(corr(s, quality)), 0) END, 6) AS redundancy, round(avg(abs(quality - toxic)), 6) AS calibration FROM j GROUP BY lang""")
 def _(t):
     j = t("documents").select("doc_id", "lang", (F.col("n_chars") / 1000).alias("s")).join(t("labels"), "doc_id")
     q = F.col("quality")
     return j.groupBy("lang").agg(
         F.round(F.avg(F.when(q == 1, F.col("s"))) - F.avg(F.when(q == 0, F.col("s"))), 6).alias("uplift"),
-        F.round(F.coalesce(F.abs(F.corr("s", q.cast("double"))), F.lit(0.0)), 6).alias("redundancy"),
+        F.round(F.coalesce(F.abs(F.covar_pop("s", q.cast("double")) / F.nullif(F.stddev_pop("s") * F.stddev_pop(q), F.lit(0.0))), F.lit(0.0)), 6).alias("redundancy"),
         F.round(F.avg(F.abs(q - F.col("toxic"))), 6).alias("calibration"),
     )

@@ -15,10 +15,11 @@ from shalecrest.operators.index import pruned
 def files(spark: SparkSession, root: str, exclude: list[str] | None = None, include: list[str] | None = None) -> DataFrame:
     """(path, revision, content): all files below root, by path relative to it, with the SHA-256 of their content.
 
-    A path is left out if any of ``exclude`` matches, or if ``include`` is given and none of it does.
+    A path is left out if any of ``exclude`` matches, or if ``include`` is given and none of it does. Files
+    without content have no row, as Spark's reader passes over them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.col("path"), r"^(?:file:/*)?/?" + "", "/")
+    path = F.regexp_replace(F.col("path"), r"^(?:file:/*)?/?", "/")
     rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
     out = raw.select(rel.alias("path"), F.sha2("content", 256).alias("revision"), "content")
     for g in exclude or []:

@@ -109,7 +109,7 @@ def test_pack_is_greedy(spark, sizes, limit):
 def test_sources(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.md").write_text("hello")
-    (tmp_path / "b.txt").write_text("")
+    (tmp_path / "b.txt").write_text("b")
     (tmp_path / "q.txt").write_text("q1 0 d1 2\nq1 0 d2 0\nbad line\n")
     (tmp_path / "q.json").write_text('{"queries": [{"id": "1", "query": "x", "qrels": [{"docId": "d", "relevance": 3}]}]}')
     got = {r["path"] for r in readers.files(spark, str(tmp_path), exclude=["*.json"], include=["**/*.md", "b.txt"]).collect()}
