@@ -244,6 +244,15 @@ def test_pii(spark, odd):
     assert out.columns == odd.columns and out.where("doc_id = 50").first().n_chars == len(clean)
 
 
+def test_pii_repeated_with_only_prose_between():
+    for x in ("phone 5551234", "call 15551234567", "phone 2015551234"):
+        number = x.split()[1]
+        text = f"{x} und nobody else at all has {number}, misul"
+        assert pii.redact(text, pii.label([text], pii.weights())[0]).count("[PHONE]") == 2, x
+    bare = "one 5551234 und 5551234, page 5551234"
+    assert pii.label([bare], pii.weights()) == [[]]
+
+
 def test_marginals_are_exact_on_a_tree():
     rng = np.random.default_rng(0)
     u, p = rng.standard_normal((4, 3)), rng.standard_normal((3, 3, 3))
