@@ -1,10 +1,10 @@
 """Personal data and secrets by a skip-chain conditional random field.
 
 The nodes of a document are its tokens that hold a digit or an at sign; a token without either can't be of any
-label but O here, so it only serves as context. Neighbouring nodes share a chain potential, and distant nodes
-with the same letters, or the same last seven digits, share a skip potential, whatever lies between them. Loopy
-sum-product message passing over both kinds of edges gives each node's marginal, so that what is clear in one
-place of a document decides the same thing elsewhere. The weights are fitted by pseudo-likelihood to
+label but O here, so it only serves as context. Neighbouring nodes share a chain potential, and all nodes of a document
+with the same letters, or the same last seven digits, share a skip potential with one hub, whatever lies between them and
+however many they are. Loopy sum-product message passing over both kinds of edges, until messages rest, gives each node's
+marginal, so that what is clear in one place of a document decides the same thing elsewhere. The weights are fitted by pseudo-likelihood to
 documents made by ``examples`` and ``mentions``.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -114,10 +115,10 @@ class Graph:
         self.feats: list[list[int]] = []
         self.spans: list[tuple[int, int, int]] = []  # document, start, end
         self.chain: list[tuple[int, int]] = []
-        self.skip: list[tuple[int, int]] = []
+        self.key: list[tuple[int, str] | None] = []  # document and what tells repeats of one thing
 
     def add(self, doc: int, text: str) -> None:
-        last_end, seen, begin = -9, {}, 0
+        last_end, begin = -9, 0
         for chunk in _CHUNK.finditer(text):
             for m in _TOKEN.finditer(text, chunk.start(), chunk.end()):
                 s = m.group()
@@ -129,21 +130,30 @@ class Graph:
                 before = text[max(begin, a - 24) : a]
                 self.feats.append(features(s, before, a > 0 and text[a - 1] in "\"'`"))
                 self.spans.append((doc, a, b))
-                near = a - last_end <= 3 and "\n" not in text[last_end:a]
-                if near:
+                if a - last_end <= 3 and "\n" not in text[last_end:a]:
                     self.chain.append((node - 1, node))
                     for one, other, both in _PARTS:
                         if one in self.feats[node - 1] and other in self.feats[node]:
                             self.feats[node - 1] = [*self.feats[node - 1], both]
                             self.feats[node] = [*self.feats[node], both]
                 digits = re.sub(r"[^0-9]", "", s)
-                for key in {s.lower(), *([digits[-7:]] if len(digits) >= 7 and "@" not in s else [])}:
-                    if len(key) >= 5:
-                        if key in seen and not (near and seen[key] == node - 1):
-                            self.skip.append((seen[key], node))
-                        seen[key] = node
+                key = digits[-7:] if len(digits) >= 7 and "@" not in s else s.lower()  # same letters have the same last digits
+                self.key.append((doc, key) if len(key) >= 5 else None)
                 last_end = begin = b
 
+    def skip(self) -> tuple[np.ndarray, np.ndarray]:
+        """(node and hub of each skip edge, how much the node's evidence weighs at the hub): a hub for each key that several nodes have.
+
+        Nodes of a hub with the same features say the same thing, so together they weigh as much as one of them:
+        it isn't truer for being repeated, and bare repeats don't outvote a clear mention however many they are.
+        """
+        times = Counter(k for k in self.key if k is not None)
+        hubs: dict[tuple[int, str], int] = {}
+        edges = [(i, hubs.setdefault(k, len(hubs))) for i, k in enumerate(self.key) if k is not None and times[k] > 1]
+        kinds = [(h, *sorted(self.feats[i])) for i, h in edges]
+        alike = Counter(kinds)
+        return np.array(edges, dtype=np.int64).reshape(-1, 2), np.array([1 / alike[k] for k in kinds])
+
     def matrix(self) -> np.ndarray:
         x = np.zeros((len(self.feats), len(_FEATURES)))
         for i, f in enumerate(self.feats):
@@ -235,11 +245,13 @@ def weights(seed: int = 5, documents: int = 1500, rounds: int = 250) -> tuple[np
             gold.append(next((LABELS.index(k) for s, e, k in found if s <= a and b <= e or a <= s and e <= b), 0))
     x, y, n = g.matrix(), np.array(gold), len(LABELS)
     one = np.eye(n)[y]
-    chain, skip = np.array(g.chain).reshape(-1, 2), np.array(g.skip).reshape(-1, 2)
-    near, far = np.zeros((len(y), n)), np.zeros((len(y), n))
-    for e, into in ((chain, near), (skip, far)):
-        np.add.at(into, e[:, 0], one[e[:, 1]])
-        np.add.at(into, e[:, 1], one[e[:, 0]])
+    chain, (skip, _) = np.array(g.chain).reshape(-1, 2), g.skip()
+    near, far, hub = np.zeros((len(y), n)), np.zeros((len(y), n)), np.zeros((len(y), n))
+    np.add.at(near, chain[:, 0], one[chain[:, 1]])
+    np.add.at(near, chain[:, 1], one[chain[:, 0]])
+    # a hub's label is that of most of its nodes
+    np.add.at(hub, skip[:, 1], one[skip[:, 0]])
+    far[skip[:, 0]] = np.eye(n)[hub[skip[:, 1]].argmax(axis=1)]
     z = np.concatenate([x, near, far], axis=1)
     w, m, v = np.zeros((z.shape[1], n)), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -254,33 +266,40 @@ def weights(seed: int = 5, documents: int = 1500, rounds: int = 250) -> tuple[np
     return w[:k], (w[k : k + n] + w[k : k + n].T) / 2, (w[k + n :] + w[k + n :].T) / 2
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, rounds: int = 30) -> np.ndarray:
+def marginals(unary: np.ndarray, edges: np.ndarray, potential: np.ndarray, rounds: int | None = None, weight: np.ndarray | None = None, part: np.ndarray | None = None) -> np.ndarray:
     """Beliefs of all nodes by damped loopy sum-product; exact where edges form no cycle.
 
-    unary: log potentials, a row a node; edges: pairs of nodes; potential: a symmetric log matrix for each.
+    unary: log potentials, a row a node; edges: pairs of nodes; potential: a symmetric log matrix for each; weight:
+    how much the message to an edge's second node counts there, 1 if not given; part: of each node, such that
+    edges lie within parts. Each part runs until its messages rest, or for so many rounds; after 100 rounds the
+    messages move ever less, so that those that would swing for ever come to rest too.
     """
     n, k = unary.shape
-    if not len(edges):
-        b = unary - unary.max(axis=1, keepdims=True)
-        b = np.exp(b)
-        return b / b.sum(axis=1, keepdims=True)
-    src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    both = np.concatenate([potential, potential])
-    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    msg = np.zeros((len(src), k))
-    for _ in range(rounds):
-        total = unary.copy()
-        np.add.at(total, dst, msg)
-        out = (total[src] - msg[back])[:, :, None] + both
-        top = out.max(axis=1)
-        new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        moved = np.abs(new - msg).max()
-        msg = 0.5 * msg + 0.5 * new
-        if moved < 1e-4:
-            break
     total = unary.copy()
-    np.add.at(total, dst, msg)
+    if len(edges):
+        m = len(edges)
+        src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+        both = np.concatenate([potential, potential])
+        back = np.concatenate([np.arange(m) + m, np.arange(m)])
+        counts = np.concatenate([np.ones(m) if weight is None else weight, np.ones(m)])[:, None]
+        of = np.zeros(2 * m, dtype=np.int64) if part is None else part[src]
+        msg = np.zeros((2 * m, k))
+        live, t = np.arange(2 * m), 0
+        while len(live) and (rounds is None or t < rounds):
+            t += 1
+            total[dst[live]] = unary[dst[live]]
+            np.add.at(total, dst[live], counts[live] * msg[live])
+            out = (total[src[live]] - counts[back[live]] * msg[back[live]])[:, :, None] + both[live]
+            top = out.max(axis=1)
+            new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
+            new -= new.max(axis=1, keepdims=True)
+            moved = np.zeros(of.max() + 1)
+            step = (0.5 if t <= 100 else 50 / t) * (new - msg[live])
+            np.maximum.at(moved, of[live], np.abs(step).max(axis=1))
+            msg[live] += step
+            live = live[moved[of[live]] >= 5e-5]
+        total = unary.copy()
+        np.add.at(total, dst, counts * msg)
     total = np.exp(total - total.max(axis=1, keepdims=True))
     return total / total.sum(axis=1, keepdims=True)
 
@@ -294,9 +313,13 @@ def label(texts: list[str], w: tuple[np.ndarray, np.ndarray, np.ndarray]) -> lis
     if not g.feats:
         return found
     unary = np.stack([w[0][f].sum(axis=0) for f in g.feats])
-    edges = np.array(g.chain + g.skip, dtype=np.int64).reshape(-1, 2)
-    potential = np.concatenate([np.repeat(w[1][None], len(g.chain), axis=0), np.repeat(w[2][None], len(g.skip), axis=0)])
-    best = marginals(unary, edges, potential).argmax(axis=1)
+    skip, weight = g.skip()
+    nodes, hubs = len(unary), int(skip[:, 1].max(initial=-1)) + 1
+    edges = np.concatenate([np.array(g.chain, dtype=np.int64).reshape(-1, 2), skip + [0, nodes]])
+    potential = np.concatenate([np.repeat(w[1][None], len(g.chain), axis=0), np.repeat(w[2][None], len(skip), axis=0)])
+    part = np.array([d for d, _, _ in g.spans] + [0] * hubs)
+    part[nodes + skip[:, 1]] = part[skip[:, 0]]
+    best = marginals(np.concatenate([unary, np.zeros((hubs, len(LABELS)))]), edges, potential, weight=np.concatenate([np.ones(len(g.chain)), weight]), part=part)[:nodes].argmax(axis=1)
     chained = {b for _, b in g.chain}
     for i, (d, a, b) in enumerate(g.spans):
         if best[i]:

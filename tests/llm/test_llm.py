@@ -253,6 +253,22 @@ def test_pii_repeated_with_only_prose_between():
     assert pii.label([bare], pii.weights()) == [[]]
 
 
+def test_pii_clear_mention_decides_any_number_of_others():
+    for text in ("phone 5551234 " + "and so on 5551234 " * 400, "and so on 5551234 " * 400 + "phone 5551234", "a 5551234 5551234 b " * 200 + "call 5551234 now"):
+        found = pii.label([text], pii.weights())[0]
+        assert pii.redact(text, found).count("5551234") == 0 and {k for k, *_ in found} == {"PHONE"}
+
+
+def test_marginals_run_until_messages_rest():
+    n = 300
+    u, p = np.zeros((n, 2)), np.array([[4.0, 0.0], [0.0, 4.0]])
+    u[0, 1] = 6.0
+    edges = np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    got, want = pii.marginals(u, edges, np.repeat(p[None], n - 1, axis=0)), 1 / (1 + math.exp(-6.0)) - 0.5
+    for i in (1, 40, 60):
+        assert np.allclose(got[i, 1] - 0.5, want * math.tanh(2.0) ** i, rtol=0.05)
+
+
 def test_marginals_are_exact_on_a_tree():
     rng = np.random.default_rng(0)
     u, p = rng.standard_normal((4, 3)), rng.standard_normal((3, 3, 3))
