@@ -6,13 +6,15 @@ where about nine of ten words agree). To find such pairs, the bits are cut into
 half of a strip with a random pattern; it lets a fingerprint pass whose bits there differ from the pattern in
 few places. Close fingerprints pass the same filters much more often than others. What passes a filter of
 one strip is filtered again by the next strip, until lists are small; these are compared by brute force.
-There are so many filters that the expected number in which a pair at just ``distance`` meets reaches the recall.
+The whole is repeated in rounds with fresh filters. There are so many filters and rounds that the chance of a pair
+at just ``distance`` to meet at all levels in use reaches the recall, however its differences lie in the strips.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,45 +45,104 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "doc_id long, " + ", ".join(f"{f} long" for f in _FP))
 
 
+_WIDTH = BITS // STRIPS
+_HALF = _WIDTH // 2
+_TAIL = np.cumsum([math.comb(_HALF, k) for k in range(_HALF + 1)]) / 2**_HALF
+#: The differences from a pattern with which a fingerprint still passes, and the share of fingerprints that do.
+MOST = int(np.searchsorted(_TAIL, 0.011, "right")) - 1
+SHARE = float(_TAIL[MOST])
+
+
+def depth(n: int, list_size: float) -> int:
+    """The levels at which lists of n independent fingerprints are small enough, whatever n is."""
+    return min(STRIPS, max(1, math.ceil(math.log(n / list_size) / -math.log(SHARE)))) if n > list_size else 1
+
+
+def _pass_together() -> np.ndarray:
+    """The chance that two fingerprints both pass a random filter, by the number of differences in its strip."""
+    half = [sum(math.comb(h, a) * math.comb(_HALF - h, c) for a in range(h + 1) for c in range(_HALF - h + 1) if max(a, h - a) + c <= MOST) / 2**_HALF for h in range(_HALF + 1)]
+    return np.array([sum(math.comb(d, h) * math.comb(_WIDTH - d, _HALF - h) * half[h] for h in range(max(0, d - _HALF), min(d, _HALF) + 1)) / math.comb(_WIDTH, _HALF) for d in range(_WIDTH + 1)])
+
+
+def expected_recall(distance: int, count: int, levels: int, rounds: int) -> float:
+    """The chance that a pair with so many differences, anywhere, passes a common filter at each level in one round at least.
+
+    Exact: over how the differences are spread over the strips, given which the levels and rounds are independent.
+    """
+    d = np.arange(distance + 1)
+    meet = 1 - (1 - np.pad(_pass_together(), (0, distance))[: distance + 1]) ** count
+    ways = np.array([math.comb(_WIDTH, k) for k in d], dtype=float)
+    rest = np.array([math.comb(BITS - levels * _WIDTH, distance - k) for k in d], dtype=float)
+    out = 0.0
+    for k in range(1, rounds + 1):  # a pair that meets in k of the rounds at least
+        spread = np.ones(1)
+        for _ in range(levels):
+            spread = np.convolve(spread, ways * meet**k)[: distance + 1]
+        out -= (-1) ** k * math.comb(rounds, k) * float(spread @ rest) / math.comb(BITS, distance)
+    return out
+
+
+@lru_cache(maxsize=16)
+def plan(distance: int, recall: float, levels: int) -> tuple[int, int]:
+    """(filters of a strip, rounds) with which a pair at ``distance`` meets at all levels with the chance ``recall``, at the least cost."""
+    best = None
+    for rounds in range(1, 17 if levels > 1 else 2):
+        low, high = 1, 1
+        while expected_recall(distance, high, levels, rounds) < recall:
+            low, high = high + 1, high * 2
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if expected_recall(distance, mid, levels, rounds) >= recall else (mid + 1, high)
+        # to store and compare a fingerprint in a list costs about as much as a hundred filters
+        cost = rounds * (levels * low + 100 * (low * SHARE) ** levels)
+        if best is None or cost < best[0]:
+            best = cost, low, rounds
+    return best[1:]
+
+
 class Filters:
-    """The filters of each strip: bits, patterns and the distance at which a fingerprint still passes."""
-
-    def __init__(self, distance: int, recall: float, seed: int):
-        width = BITS // STRIPS
-        half = width // 2
-        self.share, self.most = 1.0, half
-        tail = np.cumsum([math.comb(half, k) for k in range(half + 1)]) / 2**half
-        self.most = int(np.searchsorted(tail, 0.011, "right")) - 1
-        self.share = float(tail[self.most])
-        # the chance that a neighbour at this distance passes too
-        flip = distance / BITS
-        both = 0.0
-        for k in range(self.most + 1):
-            for a in range(k + 1):  # a of the k differences vanish
-                pa_ = math.comb(k, a) * flip**a * (1 - flip) ** (k - a)
-                both += math.comb(half, k) / 2**half * pa_ * sum(math.comb(half - k, b) * flip**b * (1 - flip) ** (half - k - b) for b in range(min(half - k, self.most - k + a) + 1))
-        self.count = math.ceil(-math.log(1 - recall) / both)
+    """The filters of each round and strip in use: bits and patterns."""
+
+    def __init__(self, distance: int, recall: float, seed: int, levels: int):
+        self.levels = levels
+        self.count, self.rounds = plan(distance, recall, levels)
         rng = np.random.default_rng(seed)
         self.masks, self.patterns = [], []
-        for _ in range(STRIPS):
-            bits = np.zeros((self.count, width), dtype=bool)
+        for _ in range(self.rounds * levels):
+            bits = np.zeros((self.count, _WIDTH), dtype=bool)
             for row in bits:
-                row[rng.choice(width, half, replace=False)] = True
+                row[rng.choice(_WIDTH, _HALF, replace=False)] = True
             mask = np.packbits(bits, axis=1).view("<u8").ravel()
             self.masks.append(mask)
             self.patterns.append(rng.integers(0, 2**64, self.count, dtype=np.uint64) & mask)
 
-    def passed(self, fp: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of the fingerprints that pass a filter of the level's strip."""
+    def passed(self, fp: np.ndarray, turn: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of the fingerprints that pass a filter of the round and the level's strip."""
+        mask, pattern = self.masks[turn * self.levels + level], self.patterns[turn * self.levels + level]
         rows, which = [], []
         step = max(1, (1 << 21) // self.count)
         for at in range(0, len(fp), step):
             strip = fp[at : at + step, level, None]
-            r, f = np.nonzero(np.bitwise_count((strip & self.masks[level]) ^ self.patterns[level]) <= self.most)
+            r, f = np.nonzero(np.bitwise_count((strip & mask) ^ pattern) <= MOST)
             rows.append(r + at)
             which.append(f)
         return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(which or [np.zeros(0, int)])
 
+    def lists(self, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, list) for each list that a fingerprint comes into; a part for each round."""
+        for turn in range(self.rounds):
+            row = np.arange(len(fp))
+            path = np.full(len(fp), turn, np.int64)
+            for level in range(self.levels):  # every list so far with every filter passed at this level
+                r, f = self.passed(fp, turn, level)
+                order = np.searchsorted(r, row)
+                times = np.searchsorted(r, row, "right") - order
+                first = np.cumsum(times) - times
+                pick = np.arange(times.sum()) - np.repeat(first, times) + np.repeat(order, times)
+                path = np.repeat(path, times) * self.count + f[pick]
+                row = np.repeat(row, times)
+            yield row, path
+
 
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within the distance that connect all that such pairs connect, by comparing what isn't reached yet.
@@ -142,33 +203,19 @@ def singles(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a or [none]), np.concatenate(b or [none])
 
 
-def near_pairs(prints: DataFrame, distance: int, recall: float, list_size: int, seed: int) -> DataFrame:
+def near_pairs(prints: DataFrame, distance: int, recall: float, list_size: float, seed: int) -> DataFrame:
     """(a, b): pairs of ids of distinct fingerprints that connect near duplicates."""
-    filters = Filters(distance, recall, seed)
-    n = prints.count()
-    # the depth at which lists of independent fingerprints are small enough, whatever n is
-    levels = min(STRIPS, max(1, math.ceil(math.log(max(n, 1) / list_size) / -math.log(filters.share)))) if n > list_size else 1
+    filters = Filters(distance, recall, seed, depth(prints.count(), list_size))
+    step = max(1, min(2048, int((1 << 18) / (filters.count * SHARE) ** filters.levels)))
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 ids = batch.column(0).to_numpy()
                 fp = np.stack([batch.column(1 + i).to_numpy() for i in range(len(_FP))], axis=1).view(np.uint64)
-                row = np.arange(len(ids))
-                path = np.zeros(len(ids), np.int64)
-                for level in range(levels):
-                    r, f = filters.passed(fp, level)
-                    if level:  # every list so far with every filter passed at this level
-                        order = np.searchsorted(r, row)
-                        times = np.searchsorted(r, row, "right") - order
-                        first = np.cumsum(times) - times
-                        pick = np.arange(times.sum()) - np.repeat(first, times) + np.repeat(order, times)
-                        path = np.repeat(path, times) * filters.count + f[pick]
-                        row = np.repeat(row, times)
-                    else:
-                        row, path = r, f.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(ids[row]), *(pa.array(fp[row, i].view(np.int64)) for i in range(len(_FP)))], ["list", "id", *_FP])
+                for row, path in filters.lists(fp):
+                    yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(ids[row]), *(pa.array(fp[row, i].view(np.int64)) for i in range(len(_FP)))], ["list", "id", *_FP])
 
     def compare(rows: pa.Table) -> pa.Table:
         ids = rows.column("id").to_numpy()

@@ -118,6 +118,30 @@ def test_simhash_recall_and_odd_rows(spark, odd):
     assert rows.count((7, 1, False)) == 2
 
 
+def test_simhash_recall_at_each_depth(spark):
+    rng = np.random.default_rng(4)
+    for levels, list_size, pairs in ((1, 4000, 2500), (2, 10, 2000), (3, 0.05, 500), (4, 0.0002, 200)):
+        assert simhash.depth(2 * pairs, list_size) == levels
+        filters = simhash.Filters(45, 0.98, 7, levels)
+        a = rng.integers(0, 2**64, (pairs, 4), dtype=np.uint64)
+        bits = np.zeros((pairs, 256), bool)
+        for row in bits:
+            row[rng.choice(256, 45, replace=False)] = True
+        b = a ^ np.packbits(bits, axis=1).view("<u8")
+        met = np.zeros(pairs, bool)
+        for (i, x), (j, y) in zip(filters.lists(a), filters.lists(b), strict=True):
+            i, j = np.stack([i, x], 1), np.stack([j, y], 1)
+            both = np.concatenate([np.unique(i, axis=0), np.unique(j, axis=0)])
+            both, times = np.unique(both, axis=0, return_counts=True)
+            met[both[times == 2, 0]] = True
+        assert met.mean() > 0.98 - 3 * math.sqrt(0.98 * 0.02 / pairs), levels  # three standard errors
+    pairs = 20
+    rows = [(int(k), *(int(v) for v in f.view(np.int64))) for k, f in enumerate(np.concatenate([a[:pairs], b[:pairs]]))]
+    assert simhash.depth(len(rows), 0.1) == 2
+    got = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame(rows, "id long, f0 long, f1 long, f2 long, f3 long"), 45, 0.98, 0.1, 7).collect()}
+    assert got <= {(k, k + pairs) for k in range(pairs)} and len(got) >= pairs - 1
+
+
 def test_forest_connects_what_brute_force_does():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, (60, 4)).astype(np.uint64)
