@@ -16,7 +16,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,35 +233,70 @@ def _members(group: str) -> set[str]:
 
 
 class Wrapper:
-    """A wrapper ready to match pages."""
+    """A wrapper ready to match pages: states that read a token each, and forks with a preferred way.
+
+    The match is the one that plain backtracking finds first: an optional symbol is rather there than not, a group is
+    rather repeated. A fork is tried at a place of the page only once, as it would fail there again, so the time is
+    bounded by tokens times symbols.
+    """
 
     def __init__(self, spec: dict):
-        self.number: dict[str, str] = {}
-        self.zones, self.constant = [], []
-        parts = []
+        self.reads: list[str | None] = []  # the label that a state reads before it goes on to the next one; none at forks and the end
+        self.forks: list[tuple[int, int] | None] = []
+        self.constant: list[bool] = []
         for x, optional, constant in zip(spec["symbols"], spec["optional"], spec["constant"], strict=True):
-            parts.append(self._pattern(x, constant) + ("?" if optional else ""))
-        self.match = regex.compile("".join(parts)).fullmatch
-
-    def _pattern(self, label: str, constant: bool) -> str:
+            at = self._state(None, False) if optional else None
+            self._add(x, constant)
+            if at is not None:
+                self.forks[at] = at + 1, len(self.reads)
+        self._state(None, False)
+
+    def _state(self, label: str | None, constant: bool) -> int:
+        self.reads.append(label)
+        self.forks.append(None)
+        self.constant.append(constant)
+        return len(self.reads) - 1
+
+    def _add(self, label: str, constant: bool) -> None:
         if label.endswith(")+"):
-            return "(?:" + "".join(self._pattern(x, False) for x in inner(label)) + ")+"
-        c = regex.escape(self.number.setdefault(label, chr(0x100 + len(self.number))))
-        if label in TEXTS:
-            self.zones.append(label)
-            self.constant.append(constant)
-            return f"({c})"
-        return f"(?:{c})"
+            begin = len(self.reads)
+            for x in inner(label):
+                self._add(x, False)
+            at = self._state(None, False)
+            self.forks[at] = begin, at + 1
+        else:
+            self._state(label, constant)
 
     def slots(self, labels: list[str]) -> list[tuple[int, str, bool]] | None:
         """For each text of a page: place in the stream, zone, and whether it is template; none if the page doesn't match."""
-        try:
-            m = self.match("".join([self.number[x] for x in labels]), timeout=2)
-        except (KeyError, TimeoutError):
-            return None
-        if m is None:
-            return None
-        return sorted((a, z, k) for g, (z, k) in enumerate(zip(self.zones, self.constant, strict=True), 1) for a, _ in m.spans(g))
+        reads, forks, n, end = self.reads, self.forks, len(labels), len(self.reads) - 1
+        found: list[tuple[int, str, bool]] = []
+        later: list[tuple[int, int, int]] = []  # states to go on from if this way fails, with the place and the texts found till there
+        tried: set[int] = set()
+        state = at = 0
+        while True:
+            label = reads[state]
+            if label is not None:
+                if at < n and labels[at] == label:
+                    if label in TEXTS:
+                        found.append((at, label, self.constant[state]))
+                    state, at = state + 1, at + 1
+                    continue
+            elif state == end:
+                if at == n:
+                    return found
+            else:
+                way, other = forks[state]
+                key = state * (n + 1) + at
+                if key not in tried:
+                    tried.add(key)
+                    later.append((other, at, len(found)))
+                    state = way
+                    continue
+            if not later:
+                return None
+            state, at, k = later.pop()
+            del found[k:]
 
 
 def content(labels: list[str], texts: list[str], slots: list[tuple[int, str, bool]] | None) -> tuple[str, str, int, int]:

@@ -181,6 +181,15 @@ def test_template_text_is_left_out(spark):
     assert {r.text for r in got} == {"H0", "H1", "H2"} and all(r.n_template == 1 for r in got)
 
 
+def test_wrapper_with_many_optional_symbols_matches_long_pages():
+    group = "(<p>\x1fT)+"
+    spec = {"symbols": [group] * 6 + ["<p>", "T"] * 200 + ["</z>"], "optional": [True] * 6 + [False] * 401, "constant": [False] * 407}
+    page = ["<p>", "T"] * 200 + ["</z>"]  # matches only without any of the groups
+    w = wrappers.Wrapper(spec)
+    assert [a for a, *_ in w.slots(page)] == list(range(1, 401, 2))
+    assert w.slots(page[:-1]) is None and w.slots(page[2:]) is None and len(w.slots(page[:4] + page)) == 202
+
+
 def test_chat(spark):
     turns = [("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")]
     text, found = chat.spans(turns, chat.tagged)
