@@ -176,9 +176,9 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def infer(skeletons: list[tuple[str, int, list[tuple[int, int]]]]) -> dict:
-    """The wrapper of a host from its collapsed streams: (labels, pages, (least, greatest hash) of each text outside groups).
+    """The wrapper of a host from its collapsed streams: (labels, distinct pages, (least, greatest hash) of each text outside groups).
 
-    {"symbols": labels in order, "optional": on which of them, "constant": texts that are the same on all of two or more pages}.
+    {"symbols": labels in order, "optional": on which of them, "constant": texts that are the same on all pages, of which there are two or more}.
     """
     ordered = sorted(skeletons, key=lambda s: (-s[1], s[0]))
     seqs = [s[0].split("\x1e") if s[0] else [] for s in ordered]
@@ -221,7 +221,7 @@ def infer(skeletons: list[tuple[str, int, list[tuple[int, int]]]]) -> dict:
     return {
         "symbols": symbols,
         "optional": [c < pages for c in seen],
-        "constant": [bool(t) and t[0] == t[1] and c > 1 for t, c in zip(texts, seen, strict=True)],
+        "constant": [bool(t) and t[0] == t[1] and c == pages > 1 for t, c in zip(texts, seen, strict=True)],
     }
 
 
@@ -317,7 +317,8 @@ def host_of(url) -> F.Column:
 def streams(pages: DataFrame) -> DataFrame:
     """(host, skeleton, at, lo, hi, n): the collapsed streams of each host, with the least and greatest hash of each text outside groups.
 
-    Summed up within batches first, then by key; a row with at = -1 counts the pages of a stream.
+    Summed up within batches first, then by key; a row with at = -1 counts the distinct pages of a stream: copies of
+    a page and repeated rows have the same hash and are one.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,17 +330,24 @@ def streams(pages: DataFrame) -> DataFrame:
                 labels, texts = tokens(page)
                 short = collapse(labels)
                 value = iter(_outside(labels, short, texts))
-                for at, h in [(-1, 0)] + [(i, next(value)) for i, x in enumerate(short) if x in TEXTS]:
-                    old = got.setdefault((host, "\x1e".join(short), at), [h, h, 0])
-                    old[0], old[1], old[2] = min(old[0], h), max(old[1], h), old[2] + 1
+                skeleton, whole = "\x1e".join(short), _hash(page)
+                got[host, skeleton, -1, whole] = [whole, whole]
+                for at, h in [(i, next(value)) for i, x in enumerate(short) if x in TEXTS]:
+                    old = got.setdefault((host, skeleton, at, None), [h, h])
+                    old[0], old[1] = min(old[0], h), max(old[1], h)
             keys, values = list(got), list(got.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))],
-                ["host", "skeleton", "at", "lo", "hi", "n"],
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.int64()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(2))],
+                ["host", "skeleton", "at", "page", "lo", "hi"],
             )
 
-    part = pages.mapInArrow(run, "host string, skeleton string, at int, lo long, hi long, n long")
-    return part.groupBy("host", "skeleton", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    part = pages.mapInArrow(run, "host string, skeleton string, at int, page long, lo long, hi long")
+    once = part.groupBy("host", "skeleton", "at", "page").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return once.groupBy("host", "skeleton", "at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("page").alias("n"))
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _outside(labels: list[str], short: list[str], texts: list[str]) -> list[int]:
@@ -356,7 +364,7 @@ def _outside(labels: list[str], short: list[str], texts: list[str]) -> list[int]
             i = _skip(labels, i, x)
         else:
             if x in TEXTS:
-                out.append(xxhash.xxh3_64_intdigest(texts[which[i]].encode("utf-8", "surrogatepass")) - (1 << 63))
+                out.append(_hash(texts[which[i]]))
             i += 1
     return out
 
@@ -405,7 +413,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     host's pages share. n_fields and n_template count the page's slots and template texts; matched tells whether its
     host's wrapper matched, without which all texts count as slots.
 
-    All pages of a host make its wrapper; on a single page no text is template. Only streams and counts are shuffled for it, and pages
+    All pages of a host make its wrapper, copies of one page as one; on a single page no text is template. Only streams and counts are shuffled for it, and pages
     are joined with wrappers by host. A null html has null title and text and isn't matched; an empty one has empty ones. Pages
     without a host, also with a null url, are the host "". Repeated pages give repeated rows, an empty table an empty
     result. Pages are read whole. Other columns are neither read nor returned.

@@ -181,6 +181,17 @@ def test_template_text_is_left_out(spark):
     assert {r.text for r in got} == {"H0", "H1", "H2"} and all(r.n_template == 1 for r in got)
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    copy = "<body><h1>Head</h1><div>one paragraph</div></body>"
+    page = lambda k, more="": f"<body><div>Share this</div><h1>H{k}</h1>{more}</body>"
+    rows = [(1, "https://d.example.org/1", copy), (2, "https://d.example.org/2", copy), (2, "https://d.example.org/2", copy)]
+    rows += [(10 + k, "https://e.example.org/x", page(k)) for k in range(5)] + [(20 + k, "https://e.example.org/y", page(9 + k, "<table>only these two</table>")) for k in range(2)]
+    got = {r.page_id: r for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got[1].text == got[2].text == "Head\none paragraph" and got[1].n_template == 0
+    assert [got[10 + k].text for k in range(5)] == [f"H{k}" for k in range(5)]
+    assert got[20].text == "H9\nonly these two" and got[21].text == "H10\nonly these two"
+
+
 def test_wrapper_with_many_optional_symbols_matches_long_pages():
     group = "(<p>\x1fT)+"
     spec = {"symbols": [group] * 6 + ["<p>", "T"] * 200 + ["</z>"], "optional": [True] * 6 + [False] * 401, "constant": [False] * 407}
