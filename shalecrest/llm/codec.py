@@ -1,6 +1,6 @@
 """Token ids as binary blocks by a static range asymmetric numeral system (rANS).
 
-One table of frequencies, counted over all documents, is shared by all blocks. A block is an independent
+One table of frequencies, counted over all documents, is shared by all blocks and stored with them in a header row. A block is an independent
 stream: its tokens go round over ``LANES`` states, which one array operation advances together, and share one
 stream of 32-bit words. Every ``STRIDE`` steps the block keeps a checkpoint, the states and the place in the
 stream, so that the segments of a block can be decoded in parallel and from the middle. Checksums cover the
@@ -235,6 +235,28 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     return blocks(ids, freq), freq
 
 
+def header(spark, freq: np.ndarray) -> DataFrame:
+    """A row like those of blocks that holds the shared table: block_id -1, no tokens, the frequencies in words, with their checksum."""
+    packed = zlib.compress(freq.astype("<u4").tobytes())
+    return spark.createDataFrame([(-1, 0, [], [], 0, packed, [], b"", zlib.crc32(packed), 0)], BLOCKS)
+
+
+def store(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The blocks of ``write`` and the header row that decodes them; of an empty table the header alone."""
+    made, freq = write(docs, path, id_col, text_col)
+    return made.unionByName(header(docs.sparkSession, freq))
+
+
+def restore(stored: DataFrame) -> DataFrame:
+    """As ``unpack``, from what ``store`` gives alone; raises where it has no header, several, or a damaged one."""
+    heads = stored.where("block_id = -1").select("words", "crc").limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError(f"{len(heads) or 'no'} headers")
+    if zlib.crc32(heads[0].words) != heads[0].crc:
+        raise ValueError("the header is damaged")
+    return unpack(stored.where("block_id >= 0"), np.frombuffer(zlib.decompress(heads[0].words), "<u4").astype(np.int64))
+
+
 def encoder_size(path: str) -> int:
     from shalecrest.llm.bpe import read_ranks
 
@@ -242,4 +264,4 @@ def encoder_size(path: str) -> int:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return write(table(spark, sf_dir, "documents"))[0]
+    return store(table(spark, sf_dir, "documents"))

@@ -231,6 +231,18 @@ def test_codec(spark, odd):
         codec.unpack(broken, freq).collect()
 
 
+def test_stored_tokens_decode_alone(spark, tmp_path):
+    codec.query(spark, SF).write.parquet(f"{tmp_path}/tokens")
+    stored = spark.read.parquet(f"{tmp_path}/tokens")
+    pieces = {}
+    for r in sorted(codec.restore(stored).collect(), key=lambda r: r.at):
+        pieces.setdefault(r.doc_id, []).extend(r.token_ids)
+    want = {r.doc_id: np.frombuffer(r.ids, "<u2").tolist() for r in codec.tokens(common.table(spark, SF, "documents")).collect()}
+    assert pieces == want
+    with pytest.raises(ValueError, match="no headers"):
+        codec.restore(stored.where("block_id >= 0"))
+
+
 def test_codec_from_the_middle():
     rng = np.random.default_rng(0)
     x = np.minimum(rng.geometric(0.05, 300_000), 999)
