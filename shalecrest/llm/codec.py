@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +122,12 @@ def tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         enc = encoder(path)
         kind = width(enc.fst.size)
         for whole in batches:
-            for batch in slices(whole, 1):
-                ids = [None if b is None else np.frombuffer(b, "<u4").astype(kind).tobytes() for b in enc.packed_all(batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for batch in slices(whole, 1, 2 << 20, 4096):
+                flat, ends = enc.encode(batch.column(1))
+                at = np.concatenate([[0], ends]) * np.dtype(kind).itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at), pa.py_buffer(flat.astype(kind))])
+                ids = pc.if_else(batch.column(1).is_valid(), ids, None).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
     return src.mapInArrow(run, "doc_id long, ids binary")
 
@@ -139,8 +143,8 @@ def count(ids: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            joined = b"".join(x for x in batch.column(0).to_pylist() if x)
-            total += np.bincount(np.frombuffer(joined, kind), minlength=size)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pc.fill_null(batch.column(0), b"")), b"")[0]
+            total += np.bincount(np.frombuffer(joined.as_buffer(), kind), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 

@@ -72,6 +72,17 @@ def test_utf8_machine():
         assert out + m.end() == b.decode("utf-8", "replace")
 
 
+def merged(ranks, b):
+    """The merges by definition: the pair of least rank first, the leftmost of equals."""
+    parts = [b[i : i + 1] for i in range(len(b))]
+    while len(parts) > 1:
+        r, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if r == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
 def test_pairs_are_those_of_the_merges():
     t = bpe.encoder(bpe.default_vocabulary()).fst
     rng = random.Random(2)
