@@ -16,14 +16,20 @@ from shalecrest.llm.common import col, shared, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality is at least one half; others go."""
+    """Documents whose posterior quality is at least one half; others go.
+
+    All rows count, repeated ones each. On a null or empty text all rules abstain, so it has the quality of the prior and mostly
+    stays; null ids and other columns stay as they are. An empty table gives an empty one.
+    """
     return quality.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least id. Of rows that repeat an id, one of the least text stays.
 
-    Documents with a null id, or without words, are never duplicates and stay.
+    Documents with a null id, or without words (null and empty texts too), are never duplicates and stay. Equal texts are one
+    group whatever their ids; other columns go with their row, and decide among rows of one id with one text. An empty table gives an
+    empty one.
     """
     gone = simhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     rest = docs.join(gone, docs.doc_id == gone._gone, "left_anti")
@@ -36,12 +42,20 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data and secrets replaced by their labels, and n_chars counted anew."""
+    """Documents with personal data and secrets replaced by their labels, and n_chars counted anew.
+
+    Null texts stay null with their n_chars, empty ones empty; repeated rows give repeated results; ids and other columns
+    stay as they are. An empty table gives an empty one.
+    """
     return pii.redact_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packs."""
+    """The packs of token ids, with the documents that their pieces are from.
+
+    Null and empty texts are pieces without tokens, repeated rows are all packed, an empty table gives no packs; columns besides
+    id and text aren't read.
+    """
     return packing.pack(docs)
 
 

@@ -33,7 +33,8 @@ _HOT[48:58] = _HOT[64] = True
 _CHUNK = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 #: The tokens in it.
 _TOKEN = re.compile(
-    r"""[^\s@"'<>()\[\]{},;:|=]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"""  # an address
+    # an address of any length; it begins where such a run begins, so that the search stays linear
+    r"""(?<![^\s@"'<>()\[\]{},;:|=])[^\s@"'<>()\[\]{},;:|=]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"""
     r"|[A-Za-z0-9_+/-]*[A-Za-z_/][A-Za-z0-9_+/-]*"  # letters, with digits or not
     r"|\+?\(?[0-9](?:[0-9().\-]*[0-9])?\)?"  # digits with the marks inside numbers
 )

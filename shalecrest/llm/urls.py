@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shalecrest.llm.common import col, table
 
-#: (id, host with an optional path, action). A host covers its subdomains, a path what begins with it.
+#: (id, host with an optional port and path, action). A host covers its subdomains, a path what begins with it.
 RULES = [
     (n, *rule)
     for n, rule in enumerate(
@@ -27,10 +27,10 @@ RULES = [
 ]
 
 
-def url_key(url: Column) -> Column:
-    """The canonical key: no scheme, user, port 80 or 443, or fragment; host in lower case without a final dot.
+def _parts(url: Column) -> tuple[Column, Column, Column]:
+    """(labels of the host in reverse, port, what follows): no scheme, user, port 80 or 443, or fragment; null labels without a host.
 
-    An IPv4 address or a bracketed IPv6 address is one label. A missing path is "/". Null, or without a host: null.
+    The host is in lower case without a final dot. An IPv4 address or a bracketed IPv6 address is one label.
     """
     rest = F.regexp_replace(F.regexp_replace(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), r"(?s)#.*$", "")
     authority = F.regexp_extract(rest, r"^([^/?]*)", 1)
@@ -38,17 +38,28 @@ def url_key(url: Column) -> Column:
     port = F.regexp_extract(host, r":([0-9]+)$", 1)
     name = F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"\.$", "")
     one = name.startswith("[") | name.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
-    labels = F.when(one, F.concat(name, F.lit(","))).otherwise(F.concat(F.concat_ws(",", F.reverse(F.split(name, r"\."))), F.lit(",")))
-    path = F.substring(rest, F.length(authority) + 1, 1 << 30)
+    labels = F.when(name == "", F.lit(None)).when(one, F.concat(name, F.lit(","))).otherwise(F.concat(F.concat_ws(",", F.reverse(F.split(name, r"\."))), F.lit(",")))
     odd = F.when((port == "") | port.isin("80", "443"), "").otherwise(F.concat(F.lit(":"), port))
-    return F.when(name == "", F.lit(None)).otherwise(F.concat(labels, odd, F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
+    return labels, odd, F.substring(rest, F.length(authority) + 1, 1 << 30)
+
+
+def _rooted(path: Column) -> Column:
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
+def url_key(url: Column) -> Column:
+    """The canonical key of a URL; a missing path is "/". Null, or without a host: null."""
+    labels, port, path = _parts(url)
+    return F.concat(labels, port, _rooted(path))
 
 
 def rule_key(rule: Column) -> Column:
-    """What the keys of all URLs that the rule covers start with; null for a null or empty rule."""
-    r = F.lower(F.regexp_extract(F.trim(rule), r"^([^/]*)", 1))
-    path = F.regexp_extract(F.trim(rule), r"^[^/]*(/.*)?$", 1)
-    return F.when(r == "", F.lit(None)).otherwise(F.concat(F.concat_ws(",", F.reverse(F.split(r, r"\."))), F.lit(","), path))
+    """What the keys of all URLs that the rule covers start with; null for a null rule or one without a host.
+
+    A rule is made canonical as URLs are. A bare host covers its subdomains and all ports; with a port or a path it covers that host alone.
+    """
+    labels, port, path = _parts(rule)
+    return F.when((port == "") & (path == ""), labels).otherwise(F.concat(labels, port, _rooted(path)))
 
 
 class Sweep:
@@ -87,12 +98,13 @@ def match(pages: DataFrame, rules: DataFrame, small: int = 8 << 20, id_col: str
     by key at split points taken from the rules, with a rule in each range that it reaches into, and swept
     there. Both give the same rows.
 
-    A null url, or one without a host, has a null key and no rules: n_rules 0, rule_id -1, action "none". Rules that are null, empty or have a null action are
-    left out; of rules for the same prefix the one of greatest id is the innermost. Repeated pages give repeated rows,
-    an empty table an empty result; without rules nothing is blocked. Other columns are not read or returned.
+    A null url, or one without a host, has a null key and no rules: n_rules 0, rule_id -1, action "none". Rules that are null, have no host,
+    or a null id or action are left out; of rules for the same prefix the one of greatest id is the innermost, of those of one id the one of
+    greatest action, and repeated rules count each. Repeated pages give repeated rows,
+    an empty table an empty result; without rules nothing is blocked. URLs are read whole. Other columns are not read or returned.
     """
     src = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).cast("string").alias("url")).withColumn("url_key", url_key(F.col("url")))
-    known = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_key(F.col("rule")).alias("prefix"), F.col("action").cast("string").alias("action")).where("prefix is not null and action is not null")
+    known = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_key(F.col("rule")).alias("prefix"), F.col("action").cast("string").alias("action")).where("prefix is not null and action is not null and rule_id is not null")
     if (known.agg(F.sum(F.octet_length("prefix") + 24)).first()[0] or 0) <= small:
         return _swept_whole(src, sorted((r.prefix, r.rule_id, r.action) for r in known.collect()))
     return _swept_in_ranges(src, known)
@@ -133,14 +145,20 @@ def _swept_in_ranges(src: DataFrame, known: DataFrame, ranges: int | None = None
     def place(k):
         return k.map(lambda x: 0 if x is None else bisect.bisect_right(splits, x))
 
+    def reached(x: str) -> list[int]:
+        # from the range of the prefix to the last that begins with a key of it
+        at = to = bisect.bisect_right(splits, x)
+        while to < len(splits) and splits[to].startswith(x):
+            to += 1
+        return list(range(at, to + 1))
+
     @F.pandas_udf("array<int>")
     def places(p):
-        # from the range of the prefix to that of the last key that starts with it
-        return p.map(lambda x: list(range(bisect.bisect_right(splits, x), bisect.bisect_right(splits, x + "\U0010ffff") + 1)))
+        return p.map(reached)
 
     left = known.select(F.explode(places("prefix")).alias("place"), F.col("prefix").alias("k"), F.lit(0).alias("kind"), F.col("rule_id").alias("n"), F.col("action").alias("what"))
     right = src.select(place("url_key").alias("place"), F.col("url_key").alias("k"), F.lit(1).alias("kind"), F.col("page_id").alias("n"), F.col("url").alias("what"))
-    both = left.unionByName(right).repartition(len(splits) + 1, "place").sortWithinPartitions("place", F.col("k").asc_nulls_first(), "kind", "n")
+    both = left.unionByName(right).repartition(len(splits) + 1, "place").sortWithinPartitions("place", F.col("k").asc_nulls_first(), "kind", "n", "what")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sweep, current = Sweep(), None

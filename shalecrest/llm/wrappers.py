@@ -100,14 +100,34 @@ _REPEAT = re.compile(r"(.{1,40}?)\1+", re.S)
 TEXTS = frozenset("TMBH")
 
 
+def _long_repeat(number: np.ndarray) -> tuple[int, int, int] | None:
+    """(start, period, end) of the tandem repeat of the least period over 40; the first of these."""
+    n = len(number)
+    for period in range(41, n // 2 + 1):
+        same = np.concatenate([[False], number[period:] == number[:-period], [False]])
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        runs = turns[1::2] - turns[0::2]
+        hit = np.flatnonzero(runs >= period)
+        if len(hit):
+            at = int(turns[2 * hit[0]])
+            return at, period, at + period * (1 + int(runs[hit[0]]) // period)
+    return None
+
+
 def collapse(labels: list[str]) -> list[str]:
-    """Tandem repeats as one label, "(inner )+", from the inside out."""
-    for _ in range(4):
+    """Tandem repeats as one label, "(inner )+", from the inside out; of any period and to any depth."""
+    while True:
         number: dict[str, int] = {}
         s = "".join(chr(0x100 + number.setdefault(x, len(number))) for x in labels)
-        if not _REPEAT.search(s):
-            break
         name = list(number)
+        if not _REPEAT.search(s):
+            # short periods go first; what is left is seldom long enough for others
+            long = _long_repeat(np.array([number[x] for x in labels])) if len(labels) > 81 else None
+            if long is None:
+                return labels
+            at, period, end = long
+            labels = [*labels[:at], "(" + "\x1f".join(labels[at : at + period]) + ")+", *labels[end:]]
+            continue
         out, at = [], 0
         for m in _REPEAT.finditer(s):
             out += labels[at : m.start()]
@@ -115,7 +135,6 @@ def collapse(labels: list[str]) -> list[str]:
             out.append(inner[0] if len(inner) == 1 and inner[0].endswith(")+") else "(" + "\x1f".join(inner) + ")+")
             at = m.end()
         labels = out + labels[at:]
-    return labels
 
 
 def inner(label: str) -> list[str]:
@@ -147,6 +166,26 @@ def regroup(seq: list[str], groups: list[list[str]]) -> list[str]:
     return seq
 
 
+def _lengths(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of all of x and each prefix of y."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for v in x.tolist():
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+    return row
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A longest common subsequence, by halving x: memory grows with the sum of the lengths, time with their product."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) == 1:
+        at = np.flatnonzero(y == x[0])
+        return [(0, int(at[0]))] if len(at) else []
+    half = len(x) // 2
+    cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+    return _common(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in _common(x[half:], y[cut:])]
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """A longest common subsequence, as pairs of places."""
     pre = 0
@@ -155,23 +194,9 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     suf = 0
     while suf < min(len(a), len(b)) - pre and a[-1 - suf] == b[-1 - suf]:
         suf += 1
-    x, y = a[pre : len(a) - suf], b[pre : len(b) - suf]
-    out = [(i, i) for i in range(pre)]
-    if x and y:
-        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-        for i in range(len(x) - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(len(y) - 1, -1, -1):
-                row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-        i = j = 0
-        while i < len(x) and j < len(y):
-            if x[i] == y[j]:
-                out.append((pre + i, pre + j))
-                i, j = i + 1, j + 1
-            elif best[i + 1][j] >= best[i][j + 1]:
-                i += 1
-            else:
-                j += 1
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(v, len(number)) for v in s[pre : len(s) - suf]], np.int64) for s in (a, b))
+    out = [(i, i) for i in range(pre)] + [(pre + i, pre + j) for i, j in _common(x, y)]
     return out + [(len(a) - k, len(b) - k) for k in range(suf, 0, -1)]
 
 
