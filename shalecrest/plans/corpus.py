@@ -9,15 +9,27 @@ from shalecrest.functions.text import checked_tags, chunk_id, token_estimate, wo
 from shalecrest.operators import chunking, index, rules
 from shalecrest.plans.registry import query
 
-_PARTS = """x AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS part FROM documents),
-p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq, trim(part) AS text,
-  CAST(coalesce(sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM x WHERE trim(part) <> '')"""
+_PARTS = """x AS (SELECT doc_id, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS part, regexp_matches(text, '\\A\\s*\\z') AS whole FROM documents),
+y AS (SELECT doc_id, pos, part, whole, CASE WHEN whole THEN part ELSE regexp_replace(part, '^\\s+|\\s+$', '', 'g') END AS text FROM x WHERE NOT whole OR pos = 1),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS seq, text,
+  CAST(coalesce(sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM y WHERE text <> '' OR whole)"""
+
+
+def lines(t):
+    """The documents' lines that aren't blank."""
+    return chunking.paragraphs(t("documents"), "\n")
+
+
 _TOKENS = "CAST(ceil(strlen(text) / 4.0) AS BIGINT)"
 
 
-@query("p2_paragraphs", f"WITH {_PARTS} SELECT doc_id, seq, text, start FROM p")
+_TWO = _PARTS.replace("string_split(text, chr(10))", "string_split(text, chr(10) || chr(10))").replace("strlen(part) + 1", "strlen(part) + 2").replace("FROM documents", "FROM (SELECT doc_id, replace(text, '.' || chr(10), '.' || chr(10) || chr(10)) AS text FROM documents)")
+
+
+@query("p2_paragraphs", f"WITH {_TWO} SELECT doc_id, seq, text, start FROM p")
 def _(t):
-    return chunking.paragraphs(t("documents")).select("doc_id", F.col("seq").cast("long").alias("seq"), "text", F.col("start").cast("long").alias("start"))
+    docs = t("documents").withColumn("text", F.replace("text", F.lit(".\n"), F.lit(".\n\n")))
+    return chunking.paragraphs(docs).select("doc_id", F.col("seq").cast("long").alias("seq"), "text", F.col("start").cast("long").alias("start"))
 
 
 @query("c5_packed_chunks", f"""WITH RECURSIVE {_PARTS},
@@ -26,26 +38,26 @@ f AS (SELECT doc_id, seq, 0 AS chunk, n AS held FROM n WHERE seq = 0
   UNION ALL SELECT n.doc_id, n.seq, CASE WHEN f.held + n.n <= 256 THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN f.held + n.n <= 256 THEN f.held + n.n ELSE n.n END FROM f JOIN n ON n.doc_id = f.doc_id AND n.seq = f.seq + 1)
 SELECT f.doc_id, CAST(f.chunk AS BIGINT) AS chunk, CAST(min(f.seq) AS BIGINT) AS "first", CAST(max(f.seq) AS BIGINT) AS "last", CAST(sum(n.n) AS BIGINT) AS n_tokens FROM f JOIN n ON n.doc_id = f.doc_id AND n.seq = f.seq GROUP BY f.doc_id, f.chunk""")
 def _(t):
-    return chunking.pack(chunking.paragraphs(t("documents")), 256).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", "first", "last", "n_tokens")])
+    return chunking.pack(lines(t), 256).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", "first", "last", "n_tokens")])
 
 
 @query("c12_sibling_links", f"""WITH {_PARTS}, h AS (SELECT doc_id, seq, substr(sha256(text), 1, 16) AS id FROM p)
 SELECT doc_id, seq, id, lag(id) OVER w AS prev, lead(id) OVER w AS next, count(*) OVER (PARTITION BY doc_id) AS total FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY seq)""")
 def _(t):
-    return chunking.linked(chunking.paragraphs(t("documents")), "seq").select("doc_id", F.col("seq").cast("long").alias("seq"), "id", "prev", "next", "total")
+    return chunking.linked(lines(t), "seq").select("doc_id", F.col("seq").cast("long").alias("seq"), "id", "prev", "next", "total")
 
 
 @query("r18_context", f"""WITH {_PARTS}, w AS (SELECT doc_id, seq, text, lag(text) OVER (PARTITION BY doc_id ORDER BY seq) AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM p)
 SELECT doc_id, seq, length(concat_ws(chr(10) || '---' || chr(10), a, text, b)) AS n FROM w WHERE a IS NOT NULL OR b IS NOT NULL""")
 def _(t):
     w = Window.partitionBy("doc_id").orderBy("seq")
-    p = chunking.paragraphs(t("documents")).select("doc_id", "seq", "text", F.lag("text").over(w).alias("a"), F.lead("text").over(w).alias("b"))
+    p = lines(t).select("doc_id", "seq", "text", F.lag("text").over(w).alias("a"), F.lead("text").over(w).alias("b"))
     return p.where("a is not null or b is not null").select("doc_id", F.col("seq").cast("long").alias("seq"), F.length(F.concat_ws("\n---\n", "a", "text", "b")).cast("long").alias("n"))
 
 
 @query("a12_cohesion_report", f"""WITH {_PARTS} SELECT d.lang, count(*) AS n, CAST(round(avg(length(p.text))) AS BIGINT) AS avg_length, round(avg(CASE WHEN regexp_matches(p.text, '[.!?]\\s*$') THEN 1.0 ELSE 0 END), 6) AS sentence_ends FROM p JOIN documents d USING (doc_id) GROUP BY d.lang""")
 def _(t):
-    p = chunking.paragraphs(t("documents").select("doc_id", "text")).join(t("documents").select("doc_id", "lang"), "doc_id")
+    p = lines(t).join(t("documents").select("doc_id", "lang"), "doc_id")
     return p.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text"))).cast("long").alias("avg_length"), F.round(F.avg(F.col("text").rlike(r"[.!?\n]\s*$").cast("double")), 6).alias("sentence_ends"))
 
 
@@ -54,7 +66,7 @@ SELECT CAST(lo AS BIGINT) AS lo, count(p.doc_id) AS n FROM b LEFT JOIN p ON leng
 def _(t):
     n = F.length("text")
     lo = F.when(n < 200, 0).when(n < 500, 200).when(n < 1000, 500).when(n < 2000, 1000).otherwise(2000)
-    counts = chunking.paragraphs(t("documents")).groupBy(lo.cast("long").alias("lo")).agg(F.count("*").alias("n"))
+    counts = lines(t).groupBy(lo.cast("long").alias("lo")).agg(F.count("*").alias("n"))
     buckets = t("documents").sparkSession.createDataFrame([(x,) for x in (0, 200, 500, 1000, 2000)], "lo long")
     return buckets.join(counts, "lo", "left").select("lo", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -103,12 +115,6 @@ def _(t):
     return t("documents").where(F.arrays_overlap(F.array("lang", "source"), F.array(*map(F.lit, wanted)))).select("doc_id", "lang")
 
 
-@query("f12_extension_labels", "SELECT lang, CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' ELSE 'other' END AS label, count(*) AS n FROM documents GROUP BY lang")
-def _(t):
-    names = F.create_map(*[F.lit(x) for x in ("en", "english", "fr", "french", "de", "german")])
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.coalesce(F.try_element_at(names, F.col("lang")), F.lit("other")).alias("label"), "n")
-
-
 @query("f15_qualified_keys", "SELECT doc_id, CASE WHEN (SELECT count(DISTINCT source) FROM documents) > 1 THEN source || ':' || doc_id ELSE CAST(doc_id AS VARCHAR) END AS key FROM documents")
 def _(t):
     n = t("documents").agg(F.count_distinct("source").alias("n"))
@@ -147,33 +153,12 @@ def _(t):
     return t("documents").select("doc_id").join(t("labels").where("quality = 1"), "doc_id", "left_semi")
 
 
-@query("j6_set_equality", """WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY l_orderkey), q AS (SELECT s, count(*) AS n FROM p GROUP BY s)
-SELECT p.l_orderkey, q.n > 1 AS shared FROM p JOIN q ON p.s = q.s""")
-def _(t):
-    p = t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_set("l_suppkey")), ",").alias("s"))
-    return p.join(p.groupBy("s").agg(F.count("*").alias("n")), "s").select("l_orderkey", (F.col("n") > 1).alias("shared"))
-
-
 @query("j7_orphans", "SELECT o_orderkey, o_custkey FROM orders o WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM orders k WHERE k.o_orderstatus = 'F' AND k.o_custkey = o.o_custkey AND k.o_orderkey = o.o_orderkey)")
 def _(t):
     stored = t("orders").select("o_orderkey", "o_custkey")
     return index.orphans(stored, t("orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey").select("o_orderkey", "o_custkey")
 
 
-@query("j10_relevant_passages", "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def _(t):
-    # passages are few: each document is read once, past all of them
-    passages = t("benchmark").select("item_id", F.col("text").alias("passage"))
-    return t("documents").select("doc_id", "text").join(passages, F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id")
-
-
-@query("u1_upsert", """SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0""")
-def _(t):
-    base = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    new = t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
-    return index.upsert(base, new, "id")
-
-
 @query("u3_insert_or_ignore", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def _(t):
     return index.insert_or_ignore(t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
@@ -194,19 +179,6 @@ def _(t):
     return index.pruned(t("events").select("event_type", "event_id"), "event_type", "event_id", 100)
 
 
-@query("q2_q4_q5_chunk_quality", f"""WITH {_PARTS} SELECT round(sum(CASE WHEN regexp_matches(text, '[.!?]$') THEN 1.0 ELSE 0 END) / count(*), 6) AS integrity, round(avg(CASE WHEN {_TOKENS} BETWEEN 16 AND 512 THEN 1.0 ELSE 0 END), 6) AS coverage,
-  round(avg((CASE WHEN length(text) > 10 THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '^[A-Z]') THEN 1 ELSE 0 END) / 2.0), 6) AS completeness FROM p""")
-def _(t):
-    x = F.col("text")
-    n = token_estimate(x)
-    p = chunking.paragraphs(t("documents"))
-    return p.agg(
-        F.round(F.avg(x.rlike("[.!?]$").cast("double")), 6).alias("integrity"),
-        F.round(F.avg(n.between(16, 512).cast("double")), 6).alias("coverage"),
-        F.round(F.avg(((F.length(x) > 10).cast("int") + x.rlike("^[A-Z]").cast("int")) / 2), 6).alias("completeness"),
-    )
-
-
 @query("q10_text_purity", "SELECT lang, round(avg(length(regexp_replace(text, '[\\x00-\\x1F\\x7F]', '', 'g')) / CAST(length(text) AS DOUBLE)), 6) AS purity FROM documents WHERE length(text) > 0 GROUP BY lang")
 def _(t):
     x = F.col("text")
@@ -222,42 +194,8 @@ def _(t):
     return d.select("doc_id", F.size("w").cast("long").alias("n"), F.round(F.size(F.array_distinct("w")) / F.greatest(F.size("w"), F.lit(1)), 6).alias("density"))
 
 
-@query("q17_q18_terms", f"""WITH t AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM t GROUP BY term)
-SELECT count(*) AS terms, round(avg(CASE WHEN df = 1 THEN 1.0 ELSE 0 END), 6) AS sparsity, max(df) AS most FROM f""")
-def _(t):
-    f = t("documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return f.agg(F.count("*").alias("terms"), F.round(F.avg((F.col("df") == 1).cast("double")), 6).alias("sparsity"), F.max("df").alias("most"))
-
-
 @query("a17_top_terms", f"SELECT lang, term, n, rank FROM (SELECT lang, term, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS rank FROM (SELECT lang, unnest({_WORDS}) AS term FROM documents) GROUP BY lang, term) WHERE rank <= 10")
 def _(t):
     c = t("documents").select("lang", F.explode(words(F.col("text"))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
     return c.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10")
-
-
-@query("q27_q30_scoring", """WITH m(component, metric, value, weight, must, bar) AS (VALUES ('a', 'long', (SELECT avg(CASE WHEN n_chars >= 500 THEN 1.0 ELSE 0 END) FROM documents), 2.0, true, 0.5), ('a', 'good', (SELECT avg(quality) FROM labels), 1.0, true, 0.8),
-  ('b', 'clean', (SELECT 1 - avg(toxic) FROM labels), 1.5, false, 0.0), ('b', 'english', (SELECT avg(CASE WHEN lang = 'en' THEN 1.0 ELSE 0 END) FROM documents), 0.5, false, 0.0)),
-c AS (SELECT component, sum(value * weight) / sum(weight) AS score, sum(weight) AS w, bool_and(NOT must OR value > bar) AS ok FROM m GROUP BY component), o AS (SELECT sum(score * w) / sum(w) AS overall, bool_and(ok) AS ok FROM c)
-SELECT round(overall, 6) AS overall, overall >= 0.70 AND ok AS passed, CASE WHEN overall >= 0.8 THEN 'green' WHEN overall >= 0.7 THEN 'yellow' WHEN overall >= 0.55 THEN 'orange' ELSE 'red' END AS badge FROM o""")
-def _(t):
-    docs = t("documents").agg(F.avg((F.col("n_chars") >= 500).cast("double")).alias("long"), F.avg((F.col("lang") == "en").cast("double")).alias("english"))
-    lab = t("labels").agg(F.avg("quality").alias("good"), (1 - F.avg("toxic")).alias("clean"))
-    one = docs.crossJoin(lab)
-    m = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(n).alias("value"), F.lit(w).alias("weight"), F.lit(bar).alias("bar")) for c, n, w, bar in (("a", "long", 2.0, 0.5), ("a", "good", 1.0, 0.8), ("b", "clean", 1.5, -1.0), ("b", "english", 0.5, -1.0))])))
-    c = m.groupBy("component").agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("score"), F.sum("weight").alias("w"), F.bool_and(F.col("value") > F.col("bar")).alias("ok"))
-    o = c.agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("overall"), F.bool_and("ok").alias("ok"))
-    s = F.col("overall")
-    return o.select(F.round(s, 6).alias("overall"), ((s >= 0.70) & F.col("ok")).alias("passed"), F.when(s >= 0.8, "green").when(s >= 0.7, "yellow").when(s >= 0.55, "orange").otherwise("red").alias("badge"))
-
-
-@query("q24_q26_reranker_quality", """WITH j AS (SELECT d.lang, l.quality, l.toxic, d.n_chars / 1000.0 AS s FROM documents d JOIN labels l USING (doc_id))
-SELECT lang, round(avg(CASE WHEN quality = 1 THEN s END) - avg(CASE WHEN quality = 0 THEN s END), 6) AS uplift, round(CASE WHEN stddev_pop(quality) = 0 OR stddev_pop(s) = 0 THEN 0 ELSE coalesce(abs(corr(s, quality)), 0) END, 6) AS redundancy, round(avg(abs(quality - toxic)), 6) AS calibration FROM j GROUP BY lang""")
-def _(t):
-    j = t("documents").select("doc_id", "lang", (F.col("n_chars") / 1000).alias("s")).join(t("labels"), "doc_id")
-    q = F.col("quality")
-    return j.groupBy("lang").agg(
-        F.round(F.avg(F.when(q == 1, F.col("s"))) - F.avg(F.when(q == 0, F.col("s"))), 6).alias("uplift"),
-        F.round(F.coalesce(F.abs(F.covar_pop("s", q.cast("double")) / F.nullif(F.stddev_pop("s") * F.stddev_pop(q), F.lit(0.0))), F.lit(0.0)), 6).alias("redundancy"),
-        F.round(F.avg(F.abs(q - F.col("toxic"))), 6).alias("calibration"),
-    )

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 LATE = "10 minutes"
 
@@ -15,12 +20,11 @@ LATE = "10 minutes"
 def stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file."""
     schema = spark.read.parquet(path).schema
-    if os.path.isfile(path):
+    raw = spark.readStream.schema(schema)
+    if os.path.isfile(path.removeprefix("file://")):
         folder, name = os.path.split(path)
-        raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    else:
-        raw = spark.readStream.schema(schema).parquet(path)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+        return raw.option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, every: str = "1 hour", by: str = "event_type") -> DataFrame:
@@ -38,16 +42,70 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return w.agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
-    """What a streaming query gives over all data there is now, as a table in the shared folder."""
+def redundant(searches: DataFrame, minutes: int = 5, threshold: float = 0.8) -> DataFrame:
+    """(session, id, redundant): whether an earlier search of the session, up to five minutes before, has a cosine above the threshold.
+
+    searches: a stream of session, id, ts and vector. A session's state is its searches of the last five minutes of event time; it is dropped when the
+    watermark has passed them. Within a batch rows are taken in the order of time.
+    """
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)) if not state.hasTimedOut else None
+        if rows is None:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else []
+        out = []
+        for r in rows.sort_values(["ts", "id"]).itertuples():
+            at = r.ts.timestamp()
+            held = [h for h in held if h[0] >= at - 60 * minutes]
+            v = np.asarray(r.vector, float)
+            near = False
+            for _, w in held:
+                n = np.linalg.norm(v) * np.linalg.norm(w)
+                near = near or (n > 0 and float(v @ np.asarray(w)) / n > threshold)
+            held.append((at, v.tolist()))
+            out.append((key[0], r.id, near))
+        state.update((json.dumps(held),))
+        state.setTimeoutTimestamp(max(int(held[-1][0] * 1000), state.getCurrentWatermarkMs()) + 60_000 * minutes + 1)
+        yield pd.DataFrame(out, columns=["session", "id", "redundant"])
+
+    return searches.withWatermark("ts", LATE).groupBy("session").applyInPandasWithState(update, "session long, id long, redundant boolean", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def watched(files: DataFrame, apply: Callable[[DataFrame], None], state: str, every: str | None = None):
+    """A query that calls ``apply`` with what is new of a stream of files, in batches; ``every`` is the least time between two, else all there is now is taken."""
+    w = files.writeStream.option("checkpointLocation", state).foreachBatch(lambda batch, _: apply(batch))
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; where it is unset, a temporary one on a single machine."""
+    given = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if given is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        given = tempfile.mkdtemp(prefix="shalecrest-")
+        spark.sparkContext.setCheckpointDir(given)
+    return given
+
+
+def drained(result: DataFrame, mode: str = "append") -> DataFrame:
+    """What a streaming query gives over all data there is now, as a table in the shared folder.
+
+    In append mode a window is given once the watermark has passed it, and rows that are later than that are left out. The last
+    windows have no successor to close them: they are given with ``mode`` complete or update, the latest state of each.
+    """
     spark = result.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shalecrest-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{base}/out"
 
     def store(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)  # complete mode: each batch is the whole result so far
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(out)  # each batch is the whole result so far
+        else:
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # the same files if the batch is run again
 
     q = result.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(store).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(result.schema).parquet(out).select(*result.columns)
