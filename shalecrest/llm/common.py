@@ -16,11 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Where that is unset (tests on one machine) a temporary folder is used, one a session.
+    Where that is unset, on one machine (tests), a temporary folder is used, one a session; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shalecrest-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="shalecrest-"))
     return sc.getCheckpointDir()
 
 

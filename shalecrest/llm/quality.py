@@ -169,14 +169,14 @@ def patterns(src: DataFrame, text_at: int) -> DataFrame:
 KINDS = (("symbols", "mark_runs"), ("capitals", "exclamations"), ("bars", "bare_marks"), ("repeats", "dominance", "line_copies"))
 
 
-def fit(seen: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[int, float]:
-    """The posterior probability of the good class for each pattern, by EM over their counts.
+def fit(seen: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[dict[int, float], np.ndarray]:
+    """(posterior probability of the good class for each pattern, rates of votes by class, rule and vote), by EM over their counts.
 
     It starts where a kind's bad vote means that kind; rates are smoothed by one document a vote. All rules
     count for all classes, also those that witness no kind.
     """
     if not len(seen):
-        return {}
+        return {}, np.full((1 + len(KINDS), len(RULES), 2), 0.5)
     v = seen[:, None] // 3 ** np.arange(len(RULES)) % 3  # 0 abstains, 1 bad, 2 good
     n = counts.astype(float)
     cast = (v[:, :, None] == np.arange(1, 3)).astype(float)
@@ -195,10 +195,10 @@ def fit(seen: np.ndarray, counts: np.ndarray, rounds: int = 200) -> dict[int, fl
         of = new
         if moved < 1e-10:
             break
-    return dict(zip(seen.tolist(), of[0].tolist(), strict=True))
+    return dict(zip(seen.tolist(), of[0].tolist(), strict=True)), rates
 
 
-def model(seen: DataFrame) -> dict[int, float]:
+def model(seen: DataFrame) -> tuple[dict[int, float], np.ndarray]:
     """The label model of a table with a column pattern: the counts of the patterns go to the driver, 3^12 at most."""
     rows = seen.groupBy("pattern").count().orderBy("pattern").collect()
     return fit(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows]))
@@ -219,21 +219,32 @@ def score(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_
 
     Two passes over small data after one over the texts, without a shuffle of texts. A null or empty text
     has no words, so all rules abstain and its quality is that of all documents with no votes, mostly the
-    prior. Repeated rows count each. A null id stays null. Of other columns none is read or returned.
+    prior. Repeated rows count each; equal texts have equal votes and quality. A null id stays null. An empty table
+    gives an empty result. Texts are read whole. Of other columns none is read or returned.
     """
     src = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     seen = cut(patterns(src, 1))
-    known = model(seen)
+    known, _ = model(seen)
     digits = [((F.col("pattern") / F.lit(float(3**k))).cast("long") % 3 - 1).cast("int") for k in range(len(RULES))]
     return seen.withColumn("quality", posterior(known)).select("doc_id", F.array(*digits).alias("votes"), "quality", (F.col("quality") >= threshold).alias("kept"))
 
 
+def accuracies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(class, rule, good): how often each rule votes good on documents of a class when it votes; class 0 is the good one, then the kinds of bad.
+
+    Of the good class this is the rule's accuracy, of the others its error. Cases as in ``score``; an empty table gives a half for all.
+    """
+    _, rates = model(patterns(docs.select(col(text_col).cast("string").alias("text")), 0).select("pattern"))
+    rows = [(k, rule, float(rates[k, i, 1])) for k in range(len(rates)) for i, rule in enumerate(RULES)]
+    return docs.sparkSession.createDataFrame(rows, "class int, rule string, good double")
+
+
 def keep_good(docs: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose posterior quality is at least ``threshold``, with their columns unchanged.
 
     The texts are read twice, once to fit and once to filter, and never shuffled. Cases as in ``score``.
     """
-    known = model(patterns(docs.select(col(text_col).cast("string").alias("text")), 0).select("pattern"))
+    known, _ = model(patterns(docs.select(col(text_col).cast("string").alias("text")), 0).select("pattern"))
     good = np.array([p for p, q in known.items() if q >= threshold], dtype=np.int64)
     at = docs.columns.index(text_col)
 

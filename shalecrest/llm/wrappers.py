@@ -13,6 +13,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,53 +201,54 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out + [(len(a) - k, len(b) - k) for k in range(suf, 0, -1)]
 
 
-def infer(skeletons: list[tuple[str, int, list[tuple[int, int]]]]) -> dict:
-    """The wrapper of a host from its collapsed streams: (labels, distinct pages, (least, greatest hash) of each text outside groups).
+def start(skeleton: str, pages: int, hashes: list[tuple[int, int]], groups: list[list[str]]) -> dict:
+    """The part of a wrapper that one collapsed stream makes: symbols, and for each the pages that have it and the least and greatest hash of its text.
 
-    {"symbols": labels in order, "optional": on which of them, "constant": texts that are the same on all pages, of which there are two or more}.
+    hashes: of the texts outside groups; groups: all of the host, the longest first.
     """
-    ordered = sorted(skeletons, key=lambda s: (-s[1], s[0]))
-    seqs = [s[0].split("\x1e") if s[0] else [] for s in ordered]
-    groups = sorted({tuple(inner(x)) for seq in seqs for x in seq if x.endswith(")+")}, key=lambda g: (-len(g), g))
-    symbols: list[str] = []
-    seen: list[int] = []  # pages that have the symbol
-    texts: list[list | None] = []
-    pages = 0
-    for seq, (_, n, hashes) in zip(seqs, ordered, strict=True):
-        values = iter(hashes)
-        own = [(x, next(values) if x in TEXTS else None) for x in seq]
-        flat = regroup(seq, [list(g) for g in groups])
-        # texts that went into a group are slots
-        at, held = 0, []
-        for x in flat:
-            if x.endswith(")+"):
-                while at < len(own) and not (own[at][0] == x) and own[at][0] in _members(x):
-                    at += 1
-                if at < len(own) and own[at][0] == x:
-                    at += 1
-                held.append(None)
-            else:
-                held.append(own[at][1] if at < len(own) and own[at][0] == x else None)
+    seq = skeleton.split("\x1e") if skeleton else []
+    values = iter(hashes)
+    own = [(x, next(values) if x in TEXTS else None) for x in seq]
+    # texts that went into a group are slots
+    at, texts, symbols = 0, [], regroup(seq, groups)
+    for x in symbols:
+        if x.endswith(")+"):
+            while at < len(own) and not (own[at][0] == x) and own[at][0] in _members(x):
                 at += 1
-        pairs = align(symbols, flat)
-        merged, counts, kept = [], [], []
-        i = j = 0
-        for p, q in [*pairs, (len(symbols), len(flat))]:
-            merged += symbols[i:p] + flat[j:q]
-            counts += seen[i:p] + [n] * (q - j)
-            kept += texts[i:p] + [list(h) if h else None for h in held[j:q]]
-            if p < len(symbols) and q < len(flat):
-                merged.append(symbols[p])
-                counts.append(seen[p] + n)
-                h, old = held[q], texts[p]
-                kept.append([min(old[0], h[0]), max(old[1], h[1])] if h and old else None)
-            i, j = p + 1, q + 1
-        symbols, seen, texts = merged, counts, kept
-        pages += n
+            if at < len(own) and own[at][0] == x:
+                at += 1
+            texts.append(None)
+        else:
+            texts.append(list(own[at][1]) if at < len(own) and own[at][0] == x and own[at][1] else None)
+            at += 1
+    return {"symbols": symbols, "seen": [pages] * len(symbols), "texts": texts, "pages": pages}
+
+
+def merge(a: dict, b: dict) -> dict:
+    """Two parts as one: aligned, with what either has alone between what both have."""
+    symbols, seen, texts = [], [], []
+    i = j = 0
+    for p, q in [*align(a["symbols"], b["symbols"]), (len(a["symbols"]), len(b["symbols"]))]:
+        for x, m, n in ((a, i, p), (b, j, q)):
+            symbols += x["symbols"][m:n]
+            seen += x["seen"][m:n]
+            texts += x["texts"][m:n]
+        if p < len(a["symbols"]):
+            symbols.append(a["symbols"][p])
+            seen.append(a["seen"][p] + b["seen"][q])
+            h, old = b["texts"][q], a["texts"][p]
+            texts.append([min(old[0], h[0]), max(old[1], h[1])] if h and old else None)
+        i, j = p + 1, q + 1
+    return {"symbols": symbols, "seen": seen, "texts": texts, "pages": a["pages"] + b["pages"]}
+
+
+def finish(part: dict) -> dict:
+    """{"symbols": labels in order, "optional": on which of them, "constant": texts that are the same on all pages, of which there are two or more}."""
+    pages = part["pages"]
     return {
-        "symbols": symbols,
-        "optional": [c < pages for c in seen],
-        "constant": [bool(t) and t[0] == t[1] and c == pages > 1 for t, c in zip(texts, seen, strict=True)],
+        "symbols": part["symbols"],
+        "optional": [c < pages for c in part["seen"]],
+        "constant": [bool(t) and t[0] == t[1] and c == pages > 1 for t, c in zip(part["texts"], part["seen"], strict=True)],
     }
 
 
@@ -412,23 +414,52 @@ def _skip(labels: list[str], i: int, group: str) -> int:
         i = j
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of each host as JSON, from all its pages. A host's distinct streams come together in one task."""
+def wrappers(pages: DataFrame, streams_a_task: int = 2000, fan: int = 16) -> DataFrame:
+    """(host, wrapper): the wrapper of each host as JSON, from all its pages.
+
+    A host's distinct streams are merged about ``streams_a_task`` in a task, the commonest first, and the parts that come out ``fan`` in
+    a task, until one is left; so no task gets all streams of a large host. All parts know all groups of their host.
+    """
+    known = cut(streams(pages))
+    one = known.where("at = -1")
+    labels = F.filter(F.split("skeleton", "\x1e"), lambda x: x.endswith(")+"))
+    groups = one.select("host", F.explode(labels).alias("g")).distinct().groupBy("host").agg(F.collect_list("g").alias("groups"), F.lit(-1).alias("at"))
+    parts = one.groupBy("host").agg(F.ceil(F.count("*") / streams_a_task).alias("parts"))
+    most = parts.agg(F.max("parts")).first()[0] or 0
+    placed = known.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("skeleton"), F.col("parts"))).join(groups, ["host", "at"], "left")
 
     def build(pdf):
         import pandas as pd
 
         rows: dict[str, list] = {}
-        for s, at, lo, hi, n in zip(pdf["skeleton"], pdf["at"], pdf["lo"], pdf["hi"], pdf["n"], strict=True):
+        labels_: set[str] = set()
+        for s, at, lo, hi, n, g in zip(pdf["skeleton"], pdf["at"], pdf["lo"], pdf["hi"], pdf["n"], pdf["groups"], strict=True):
             row = rows.setdefault(s, [0, []])
             if at < 0:
                 row[0] = int(n)
+                labels_.update(g if g is not None else ())
             else:
                 row[1].append((int(at), int(lo), int(hi)))
-        spec = infer([(s, n, [(lo, hi) for _, lo, hi in sorted(h)]) for s, (n, h) in rows.items()])
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(spec)]})
+        own = [list(g) for g in sorted({tuple(inner(x)) for x in labels_}, key=lambda g: (-len(g), g))]
+        ordered = sorted(rows.items(), key=lambda x: (-x[1][0], x[0]))
+        part = reduce(merge, (start(s, n, [(lo, hi) for _, lo, hi in sorted(h)], own) for s, (n, h) in ordered))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(pdf["part"].iloc[0])], "wrapper": [json.dumps(part)]})
+
+    def join(pdf):
+        import pandas as pd
+
+        rows = sorted(zip(pdf["part"], pdf["wrapper"], strict=True))
+        part = reduce(merge, (json.loads(w) for _, w in rows))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "part": [int(rows[0][0]) // fan], "wrapper": [json.dumps(part)]})
+
+    def end(pdf):
+        return pdf.assign(wrapper=[json.dumps(finish(json.loads(w))) for w in pdf["wrapper"]])[["host", "wrapper"]]
 
-    return streams(pages).groupBy("host").applyInPandas(build, "host string, wrapper string")
+    made = placed.groupBy("host", "part").applyInPandas(build, "host string, part long, wrapper string")
+    while most > 1:
+        made = cut(made.groupBy("host", F.floor(F.col("part") / fan).alias("_of")).applyInPandas(join, "host string, part long, wrapper string"))
+        most = -(-most // fan)
+    return made.mapInPandas(lambda parts_: map(end, parts_), "host string, wrapper string")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -1,7 +1,9 @@
 """The corpus operators on small fixtures, against brute force, with the odd cases."""
 
+import json
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -126,6 +128,10 @@ def test_embeddings(spark):
             break
         lab = new
     assert all(got[i].group_id == lab[i] and got[i].kept == (lab[i] == i) for i in range(len(x)))
+    class_of = {i: (u[i].round(12).tobytes()) for i in range(len(x))}  # copies of one vector are one class
+    assert all(got[i].n_links == len({class_of[j] for j in np.flatnonzero(near[i])} - {class_of[i]}) for i in range(len(x)))
+    again = [(r.vec_id, r.group_id, r.n_links, r.kept) for r in embeddings.near_duplicates(df.unionByName(df.where("vec_id < 5")), 0.9, 40).where("vec_id < 5").collect()]
+    assert sorted(again) == sorted([(i, got[i].group_id, got[i].n_links, got[i].kept) for i in range(5)] * 2)
     assert all(got[i].kept for i in (1000, 1001, 1002, 1003, 1004, None))
 
 
@@ -249,6 +255,69 @@ def test_wrapper_with_many_optional_symbols_matches_long_pages():
     assert w.slots(page[:-1]) is None and w.slots(page[2:]) is None and len(w.slots(page[:4] + page)) == 202
 
 
+def test_matches_are_those_of_the_expression():
+    """A wrapper's match against Python's own engine on short streams."""
+    import itertools
+    import re
+
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(1, 4)
+        symbols = [rng.choice(["a", "b", "T", "(a\x1fT)+", "(b)+", "((a)+\x1fT)+"]) for _ in range(n)]
+        optional = [rng.random() < 0.4 for _ in range(n)]
+        w = wrappers.Wrapper({"symbols": symbols, "optional": optional, "constant": [False] * n})
+        pattern = re.compile("".join(f"(?:{x.replace(chr(31), '')}){'?' if o else ''}" for x, o in zip(symbols, optional)))
+        for length in range(6):
+            for page in itertools.product("abT", repeat=length):
+                got = w.slots(list(page))
+                assert (got is not None) == bool(pattern.fullmatch("".join(page))), (symbols, optional, page)
+                assert got is None or [a for a, *_ in got] == [i for i, x in enumerate(page) if x == "T"]
+
+
+def test_alignments_are_longest():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in ((i, j) for i in range(len(a)) for j in range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = wrappers.align(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p < q and r < s for (p, r), (q, s) in zip(got, got[1:]))
+
+
+def test_repeats_of_any_period_and_depth():
+    item = [f"<t{i}>" for i in range(50)]
+    assert len(wrappers.collapse(["<ul>", *item * 4, "</ul>"])) == 3
+    nested = ["<p>", "T"]
+    for k in range(7):
+        nested = [f"<d{k}>", *nested * 2, f"</d{k}>"]
+    assert len(wrappers.collapse(nested)) == 3
+
+
+def test_large_hosts_are_merged_in_parts(spark):
+    rng = random.Random(6)
+    block = lambda k, i: f"<div class=c{k}><p>{k} {i}</p></div>" if rng.random() < 0.6 else ""
+    rows = [(i, "https://big.example.org/x", f"<body><div>Share this</div><h1>H{i}</h1>{''.join(block(k, i) for k in range(5))}<footer>f</footer></body>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    src = df.select(wrappers.host_of(df.url).alias("host"), "html")
+    whole = [r.wrapper for r in wrappers.wrappers(src).collect()]
+    parts = [r.wrapper for r in wrappers.wrappers(src, 3, 2).collect()]
+    assert len(whole) == len(parts) == 1
+    for spec in (whole[0], parts[0]):
+        w = wrappers.Wrapper(json.loads(spec))
+        for _, _, html in rows:
+            labels, texts = wrappers.tokens(html)
+            found = w.slots(labels)
+            assert found is not None and [texts[n] for n, (_, _, same) in enumerate(found) if same] == ["Share this", "f"]
+
+
+def test_a_very_long_page_and_equal_pages(spark):
+    long = "<body><h1>Head</h1>" + "".join(f"<div><p>para {i}</p><table><tr><td>{i}</td></tr></table></div>" for i in range(20_000)) + "</body>"
+    rows = [(1, "https://l.example.org/1", long), (2, "https://l.example.org/2", long.replace("Head", "Other")), (2, "https://l.example.org/2", long.replace("Head", "Other"))]
+    got = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3 and all(r.matched and r.text.count("para") == 20_000 for r in got) and got[1].text == got[2].text
+
+
 def test_chat(spark):
     turns = [("system", "s"), ("user", "u1"), ("assistant", "a1"), ("user", "u2"), ("assistant", "a2")]
     text, found = chat.spans(turns, chat.tagged)
@@ -313,6 +382,49 @@ def test_quality(spark, odd):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def em_by_loops(votes, rounds=200):
+    """The label model by the definition: a class for each document, a rate for each class, rule and vote."""
+    n, r, c = len(votes), len(quality.RULES), 1 + len(quality.KINDS)
+    of = []
+    for v in votes:
+        bad = [1.001 if any(v[quality.RULES.index(x)] == 0 for x in kind) else 0.001 for kind in quality.KINDS]
+        good = 0.1 if max(bad) > 1 else 0.95
+        of.append([good] + [b / sum(bad) * (1 - good) for b in bad])
+    for _ in range(rounds):
+        prior = [(sum(o[k] for o in of) + 1) / (n + c) for k in range(c)]
+        rate = [[[1.0, 1.0] for _ in range(r)] for _ in range(c)]
+        for v, o in zip(votes, of):
+            for k in range(c):
+                for i in range(r):
+                    if v[i] >= 0:
+                        rate[k][i][v[i]] += o[k]
+        rate = [[[x / sum(p) for x in p] for p in row] for row in rate]
+        new = []
+        for v in votes:
+            p = [prior[k] * math.prod(rate[k][i][v[i]] for i in range(r) if v[i] >= 0) for k in range(c)]
+            new.append([x / sum(p) for x in p])
+        moved = max(abs(a - b) for x, y in zip(new, of) for a, b in zip(x, y))
+        of = new
+        if moved < 1e-10:
+            break
+    return [o[0] for o in of], rate
+
+
+def test_quality_against_loops(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in quality.score(docs).collect()}
+    ids = sorted(got)
+    want, rate = em_by_loops([got[i].votes for i in ids])
+    assert np.allclose([got[i].quality for i in ids], want, atol=1e-6)
+    known = {(r["class"], r.rule): r.good for r in quality.accuracies(docs).collect()}
+    assert all(abs(known[k, x] - rate[k][i][1]) < 1e-6 for k in range(5) for i, x in enumerate(quality.RULES))
+
+
+def test_ties_and_copies_have_one_quality(spark, odd):
+    got = [r.quality for r in quality.score(odd).collect() if r.doc_id in (1, 7)]
+    assert len(got) == 3 and len(set(got)) == 1
+
+
 def test_votes_of_one_text_do_not_depend_on_its_neighbours(odd):
     texts = [r.text for r in odd.collect()]
     together = quality.votes(pa.array(texts))
@@ -334,6 +446,16 @@ def test_urls(spark):
     assert got[1].blocked and not got[2].blocked and got[6].blocked and got[3].url_key is None
 
 
+def test_rules_are_canonical_as_urls_are(spark):
+    rules = spark.createDataFrame([(1, "10.0.0.1", "block"), (2, "Example.com:8080", "block"), (3, "example.org.", "block"), (4, "https://shop.test/a", "block"), (None, "example.org", "allow"), (6, "user@mail.test:443", "block"), (7, "[2001:DB8::1]", "block"), (8, "mail.test", "allow"), (8, "mail.test", "block"), (9, None, "block"), (10, "mail.test", None)], "rule_id long, rule string, action string")
+    cases = [("http://10.0.0.1/x", 1), ("http://10.0.0.10/x", -1), ("http://example.com:8080/y", 2), ("http://example.com:80801/", -1), ("http://m.example.com:8080/", -1), ("http://www.example.org/", 3), ("http://shop.test/ab", 4), ("http://www.shop.test/ab", -1), ("https://mail.test/", 8), ("http://[2001:db8::1]:80/", 7), ("http://shop.test/" + "b" * 200_000, -1)]
+    pages = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(cases)], "page_id long, url string")
+    for small in (8 << 20, 0):
+        got = {r.page_id: r for r in urls.match(pages, rules, small=small).collect()}
+        assert [got[n].rule_id for n in range(len(cases))] == [k for _, k in cases]
+        assert got[8].action == "block" and got[8].n_rules == 3  # of one id the greater action; both rows and rule 6 count
+
+
 def test_pii(spark, odd):
     w = pii.weights()
     cases = pii.examples(99, 200)
@@ -363,6 +485,49 @@ def test_pii_clear_mention_decides_any_number_of_others():
         assert pii.redact(text, found).count("5551234") == 0 and {k for k, *_ in found} == {"PHONE"}
 
 
+def test_pii_against_enumeration():
+    """The labels of hand-made texts are those of greatest marginal in the whole graph, by summing over all labellings."""
+    w = pii.weights()
+    for text in ("call 555-7713 or 5557713 now", "mail a1@b.example, ssn 123-45-6789", "card 4111 1111 1111 1111", "version 10.0.0.1 and 10.0.0.1", "x 5551234 page 5551234 phone 5551234"):
+        g = pii.Graph()
+        g.add(0, text)
+        skip, weight = g.skip()
+        n, hubs, k = len(g.feats), int(skip[:, 1].max(initial=-1)) + 1, len(pii.LABELS)
+        unary = np.stack([w[0][f].sum(axis=0) for f in g.feats])
+        total = np.zeros((n, k))
+        for y in np.ndindex(*[k] * n):
+            s = sum(unary[i, y[i]] for i in range(n)) + sum(w[1][y[a], y[b]] for a, b in g.chain)
+            # a hub's label is summed out; in these texts no two of its nodes say the same
+            p = math.exp(s)
+            for h in range(hubs):
+                p *= sum(math.exp(sum(c * w[2][y[i], z] for (i, to), c in zip(skip.tolist(), weight) if to == h)) for z in range(k))
+            for i in range(n):
+                total[i, y[i]] += p
+        want = total.argmax(axis=1)
+        marked = [any(a <= x and z <= b for _, a, b in pii.label([text], w)[0]) for _, x, z in g.spans]
+        assert marked == [bool(v) for v in want], text
+
+
+def test_pii_on_text_that_no_generator_made():
+    w = pii.weights()
+    for text, want in (
+        ("Write to jane.doe@mail.example.org or ring +44 (020) 555-0199.", "Write to [EMAIL] or ring [PHONE]."),
+        ("Server 192.168.10.44 answered; release 3.11.2 is from 2024-05-01.", "Server [IP] answered; release 3.11.2 is from 2024-05-01."),
+        ("a" * 81 + "@mail.example.com wrote", "[EMAIL] wrote"),
+        ("long " + "sub." * 30 + "name@" + "x1." * 20 + "example.com end", "long [EMAIL] end"),
+    ):
+        assert pii.redact(text, pii.label([text], w)[0]) == want
+    started = time.time()
+    pii.label(["é" * 200_000 + "@ " + "a" * 200_000 + "1"], w)
+    assert time.time() - started < 20
+
+
+def test_labels_do_not_depend_on_neighbours():
+    w = pii.weights()
+    texts = [s for s, _ in pii.examples(77, 60)] + ["", "none"]
+    assert pii.label(texts, w) == [pii.label([s], w)[0] for s in texts]
+
+
 def test_marginals_run_until_messages_rest():
     n = 300
     u, p = np.zeros((n, 2)), np.array([[4.0, 0.0], [0.0, 4.0]])
