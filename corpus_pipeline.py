@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shalecrest.llm import packing, pii, quality, simhash
@@ -36,9 +36,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = rest.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
     if again.isEmpty():
         return rest
-    names = docs.columns
-    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[col(c) for c in ["text", *(c for c in names if c != "text")]])).alias("_row"))
-    return rest.join(again, "doc_id", "left_anti").unionByName(one.select(*[F.col("_row").getField(c).alias(c) for c in names]))
+    others = [col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.col("text"), *([F.to_json(F.struct(*others))] if others else [])]  # columns of any type can be told apart so
+    one = rest.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where("_nth = 1").select(*map(col, docs.columns))
+    return rest.join(again, "doc_id", "left_anti").select(*map(col, docs.columns)).unionByName(one)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

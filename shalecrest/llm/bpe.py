@@ -12,6 +12,7 @@ many texts advance together, a byte a step, and the transitions that a step lack
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Iterable, Iterator
 
@@ -29,10 +30,22 @@ NONSPACE = SPACE.replace("[", "[^", 1)
 PRETOKEN = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!\p{{L}}|\p{{N}}){NONSPACE})+|{SPACE}+(?!{NONSPACE})|{SPACE}+"
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to rank, from a file of "base64 rank" lines."""
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    """Token bytes to rank, from lines of "base64 rank"."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+
+
+#: Bytes that a vocabulary's file may have; it is sent to every executor.
+LARGEST = 64 << 20
+
+
+def vocabulary(path: str | None = None) -> bytes:
+    """The file of a vocabulary, read on the driver: executors need no path."""
+    path = path or default_vocabulary()
+    if os.path.getsize(path) > LARGEST:
+        raise ValueError(f"{path} has more than {LARGEST} bytes")
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+        return f.read()
 
 
 def default_vocabulary() -> str:
@@ -419,8 +432,8 @@ class Encoder:
     #: Pretokens beyond so many bytes are encoded one by one.
     LONG = 256
 
-    def __init__(self, path: str, kept: int = 500_000):
-        self.fst = Transducer(read_ranks(path))
+    def __init__(self, data: bytes, kept: int = 500_000):
+        self.fst = Transducer(ranks_of(data))
         self.kinds = _kinds()
         self.kept = kept
         self.renew()
@@ -518,14 +531,15 @@ class Encoder:
         self.pool[self.used : self.used + len(ids)] = ids
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[bytes, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(data: bytes) -> Encoder:
+    """One encoder of a vocabulary for each Python worker, kept between tasks."""
+    key = hashlib.sha256(data).digest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(data)
+    return _encoders[key]
 
 
 #: What a first byte asks for: bytes still due, least and greatest next byte. Other bytes from 0x80 on never begin a character.
@@ -613,11 +627,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     other than the two named are neither read nor returned, so their names can't clash. An empty table
     gives an empty result. Texts are encoded whole, whatever their length.
     """
-    path = path or default_vocabulary()
+    data = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(data.value)
         back = Decoder(enc.fst.bytes_of)
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20, 4096):

@@ -86,7 +86,8 @@ def render(conversations: DataFrame, templates: dict[str, Template] | None = Non
     of turns that changed what earlier turns had rendered. Turns are ordered by turn, role and text, nulls first, so
     ties are defined; repeated rows are turns of their own. A null role or text is rendered as an empty
     string. Rows with a null conv_id belong to no conversation and are left out. An empty table gives an
-    empty result. One shuffle brings a conversation together. Other columns are neither read nor returned.
+    empty result. Texts of any length are rendered whole; a conversation of n turns is rendered n times by each template. One shuffle brings a
+    conversation together. Other columns are neither read nor returned.
     """
     templates = templates or TEMPLATES
     turns = conversations.where(col("conv_id").isNotNull()).groupBy(col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(F.struct(col("turn").cast("long").alias("turn"), col("role").cast("string").alias("role"), col("text").cast("string").alias("text")))).alias("turns"))

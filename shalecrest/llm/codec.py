@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalecrest.llm.bpe import default_vocabulary, encoder
+from shalecrest.llm.bpe import encoder, ranks_of, vocabulary
 from shalecrest.llm.common import col, cut, table
 from shalecrest.llm.words import slices
 
@@ -115,11 +115,11 @@ def decode(words: np.ndarray, offsets: np.ndarray, states: np.ndarray, n: int, t
 
 def tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each text as little-endian numbers of two bytes, or four for a larger vocabulary."""
-    path = path or default_vocabulary()
+    data = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     src = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(data.value)
         kind = width(enc.fst.size)
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20, 4096):
@@ -230,9 +230,8 @@ def write(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     The texts are tokenised once; the ids lie in the shared folder while they are counted and encoded. Nothing
     but counts is shuffled. Every row is in some block, a long document in several: doc_ids and doc_tokens name
     what a block holds, and first_at where in its first document it begins. A null text has -1 tokens, an empty one
-    0. Null ids stay null, repeated rows are kept, an empty table gives no blocks. Other columns are not read.
+    0. Null ids stay null, repeated rows are kept and ties don't arise; an empty table gives no blocks. Other columns are not read.
     """
-    path = path or default_vocabulary()
     ids = cut(tokens(docs, path, id_col, text_col))
     size = encoder_size(path)
     freq = frequencies(count(ids, size))
@@ -261,10 +260,9 @@ def restore(stored: DataFrame) -> DataFrame:
     return unpack(stored.where("block_id >= 0"), np.frombuffer(zlib.decompress(heads[0].words), "<u4").astype(np.int64))
 
 
-def encoder_size(path: str) -> int:
-    from shalecrest.llm.bpe import read_ranks
-
-    return max(read_ranks(path).values()) + 1
+def encoder_size(path: str | None) -> int:
+    """One more than the greatest token."""
+    return max(ranks_of(vocabulary(path)).values()) + 1
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,10 +125,11 @@ def spanning(x: np.ndarray, y: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, group_id, kept): the group of every row, named by its least id, whose row is kept.
+    """(vec_id, group_id, n_links, kept): the group of every row, named by its least id, whose row is kept.
 
     Groups are the connected components of pairs whose cosine is at least ``threshold``; all pairs are decided exactly,
-    in double precision. Equal unit vectors are compared once. Vectors of different lengths are never near.
+    in double precision. Equal unit vectors are compared once; n_links is the number of other ones that the row's own is near.
+    Vectors of different lengths are never near. Ties don't arise.
 
     A vector that is null, empty or zero, or holds a null, NaN or infinity, has no direction: it is a group of its own and
     kept. A null id gets a null group and is kept. Repeated rows of an id are in one group and all of them say
@@ -136,7 +138,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096
     rows = cut(units(vectors, id_col, vector_col))
     known = rows.where("vec_id is not null and unit is not null")
     points = cut(known.groupBy("dim", "unit").agg(F.min("vec_id").alias("id")))
-    same = known.join(points, ["dim", "unit"]).where("vec_id <> id").select(F.col("id").alias("a"), F.col("vec_id").alias("b"))
+    same = known.join(points, ["dim", "unit"]).select(F.col("id").alias("a"), F.col("vec_id").alias("b"))
     turned = axes(points)
     far = math.sqrt(max(0.0, 2 - 2 * threshold)) + _EPS
 
@@ -156,7 +158,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096
 
     @F.pandas_udf("int")
     def which(dim, lead):
-        return (lead * 0).astype("int32") if not cuts else dim.combine(lead, lambda d, x: int(np.searchsorted(cuts.get(d, []), x)))
+        out = np.zeros(len(dim), np.int32)
+        for d in cuts:
+            own = (dim == d).to_numpy()
+            out[own] = np.searchsorted(cuts[d], lead[own])
+        return pd.Series(out)
 
     def gather(t: pa.Table) -> pa.Table:
         d = t.column("dim")[0].as_py()
@@ -173,25 +179,34 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 4096
 
     tiles = cut(ordered.withColumn("tile", which("dim", "lead")).groupBy("dim", "tile").applyInArrow(gather, "dim int, tile long, ids binary, x binary, lo array<double>, hi array<double>"))
     box = tiles.select("dim", "tile", "lo", "hi")
-    a, b = box.alias("a"), box.alias("b")
+    # each tile meets each other in one of 32 parts of the join
+    a = box.withColumn("part", F.col("tile") % 32).alias("a")
+    b = box.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(31)))).alias("b")
     gap = F.zip_with(F.zip_with("a.lo", "b.hi", lambda p, q: p - q), F.zip_with("b.lo", "a.hi", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0)))
-    pairs = a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.tile") <= F.col("b.tile")) & (F.element_at("b.lo", 1) - F.element_at("a.hi", 1) <= far))
+    pairs = a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.tile") <= F.col("b.tile")) & (F.element_at("b.lo", 1) - F.element_at("a.hi", 1) <= far))
     pairs = pairs.where(F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) <= far * far).select(F.col("a.dim").alias("dim"), F.col("a.tile").alias("i"), F.col("b.tile").alias("j"))
-    left = tiles.select("dim", F.col("tile").alias("i"), F.col("ids").alias("ids_i"), F.col("x").alias("x_i"))
-    right = tiles.select("dim", F.col("tile").alias("j"), F.col("ids").alias("ids_j"), F.col("x").alias("x_j"))
-    work = pairs.join(left, ["dim", "i"]).join(right, ["dim", "j"]).select("dim", "i", "j", "ids_i", "x_i", "ids_j", "x_j")
+    # a tile comes first of those that it is compared with, so that it is sent once
+    work = pairs.join(tiles.select("dim", F.col("tile").alias("j"), "ids", "x"), ["dim", "j"]).select("dim", "i", "j", "ids", "x").repartition("dim", "i").sortWithinPartitions("dim", "i", "j")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = x = at = None
         for batch in batches:
             for k in range(batch.num_rows):
-                d, i, j, p, x, q, y = (batch.column(c)[k].as_py() for c in range(7))
-                p, q = np.frombuffer(p, "<i8"), np.frombuffer(q, "<i8")
-                u, v = reach(np.frombuffer(x, "<f8").reshape(-1, d), np.frombuffer(y, "<f8").reshape(-1, d), threshold, i == j)
+                d, i, j, q, y = (batch.column(c)[k].as_py() for c in range(5))
+                q, y = np.frombuffer(q, "<i8"), np.frombuffer(y, "<f8").reshape(-1, d)
+                if (d, i) != at:
+                    at, p, x = (d, i), q, y
+                u, v = reach(x, y, threshold, i == j)
                 one, two = spanning(p[u], q[v])
-                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.nulls(len(one), pa.int64())], ["a", "b", "n"])
+                ids, n = np.unique(np.concatenate([p[u], q[v]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(n)], ["a", "b", "n"])
 
-    roots = components(work.mapInArrow(compare, "a long, b long").unionByName(same))
-    return rows.join(roots, rows.vec_id == roots.node, "left").select("vec_id", F.coalesce("root", "vec_id").alias("group_id"), F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(True)).alias("kept"))
+    found = cut(work.mapInArrow(compare, "a long, b long, n long"))
+    roots = components(found.where("n is null").select("a", "b").unionByName(same.where("a <> b")))
+    links = same.join(found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n")), "a").groupBy(F.col("b").alias("of")).agg(F.max("n").alias("n_links"))
+    out = rows.join(roots, rows.vec_id == roots.node, "left").join(links, rows.vec_id == links.of, "left")
+    return out.select("vec_id", F.coalesce("root", "vec_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("vec_id") == F.coalesce("root", "vec_id"), F.lit(True)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -202,5 +217,6 @@ SQL = """
 WITH RECURSIVE pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
     AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.9),
 reach(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.root FROM reach r JOIN pairs p ON p.a = r.id)
-SELECT id AS vec_id, min(root) AS group_id, id = min(root) AS kept FROM reach GROUP BY id
+links AS (SELECT p.a AS id, count(DISTINCT y.embedding) AS n FROM pairs p JOIN embeddings x ON x.vec_id = p.a JOIN embeddings y ON y.vec_id = p.b WHERE x.embedding <> y.embedding GROUP BY p.a)
+SELECT reach.id AS vec_id, min(root) AS group_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, reach.id = min(root) AS kept FROM reach LEFT JOIN links ON links.id = reach.id GROUP BY reach.id
 """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shalecrest.llm.bpe import default_vocabulary, encoder
+from shalecrest.llm.bpe import encoder, vocabulary
 from shalecrest.llm.codec import encoder_size, width
 from shalecrest.llm.common import col, cut, table
 from shalecrest.llm.words import directions, sketch, slices
@@ -143,12 +143,12 @@ def pack(docs: DataFrame, capacity: int = 2048, open_packs: int = 16, range_toke
     ids of tokens; rows that are equal in all of it are interchangeable. Null ids come first and stay null. An empty table
     gives an empty result. Other columns are neither read nor returned.
     """
-    path = path or default_vocabulary()
+    data = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     kind = width(encoder_size(path))
     src = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes, enc = directions(DIMENSIONS, seed), encoder(path)
+        planes, enc = directions(DIMENSIONS, seed), encoder(data.value)
         for whole in batches:
             for batch in slices(whole, 1, 1 << 20, 2048):
                 flat, ends = enc.encode(batch.column(1))

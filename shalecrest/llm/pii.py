@@ -359,7 +359,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     entities: label, start and end in characters of the original text; what they said isn't returned. One
     pass without a shuffle over whole texts. A null text stays null and, like an empty one, has no entities.
-    Null ids stay null, repeated rows give repeated results, an empty table an empty one. Other columns are
+    Null ids stay null, repeated rows give repeated results, an empty table an empty one. Of equally likely labels the
+    first in LABELS is taken, so ties are defined. Addresses of any length are found whole. Other columns are
     neither read nor returned.
     """
     w = weights()

@@ -472,7 +472,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     All pages of a host make its wrapper, copies of one page as one; on a single page no text is template. Only streams and counts are shuffled for it, and pages
     are joined with wrappers by host. A null html has null title and text and isn't matched; an empty one has empty ones. Pages
     without a host, also with a null url, are the host "". Repeated pages give repeated rows, an empty table an empty
-    result. Pages are read whole. Other columns are neither read nor returned.
+    result. Streams of equally many pages are aligned in the order of their text, so ties are defined. Pages are read whole, of any length. Other columns are neither read nor returned.
     """
     src = pages.select(col(id_col).cast("long").alias("page_id"), host_of(col(url_col)).alias("host"), col(html_col).cast("string").alias("html"))
     known = cut(wrappers(src.select("host", "html")))

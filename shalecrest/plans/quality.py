@@ -22,7 +22,7 @@ def sample(t, n):
     return index.sampled(t("documents"), "doc_id", n)
 
 
-@query("q1_cohesion", f"""WITH c AS ({_PICK.format(k=50)}), s AS (SELECT doc_id, unnest(generate_series(1, len({_SENTENCES}))) AS n, unnest({_SENTENCES}) AS text FROM c), k AS (SELECT doc_id, max(n) AS n FROM s GROUP BY doc_id HAVING max(n) > 1),
+@query("q1_cohesion_j13", f"""WITH c AS ({_PICK.format(k=50)}), s AS (SELECT doc_id, unnest(generate_series(1, len({_SENTENCES}))) AS n, unnest({_SENTENCES}) AS text FROM c), k AS (SELECT doc_id, max(n) AS n FROM s GROUP BY doc_id HAVING max(n) > 1),
 e AS {VECTORS.format("(SELECT doc_id || ':' || n AS id, text FROM s)")}, x AS (SELECT CAST(string_split(id, ':')[1] AS BIGINT) AS doc_id, CAST(string_split(id, ':')[2] AS BIGINT) AS n, b, x FROM e),
 p AS (SELECT a.doc_id, sum(a.x * b.x) AS s FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.n < b.n AND a.b = b.b GROUP BY a.doc_id), m AS (SELECT k.doc_id, coalesce(p.s, 0) / (k.n * (k.n - 1) / 2) AS c FROM k LEFT JOIN p ON p.doc_id = k.doc_id)
 SELECT count(*) AS chunks, round(avg(c), 5) AS cohesion, round(least(greatest((avg(c) + 1) / 2, 0), 1), 5) AS normal FROM m""")
@@ -40,7 +40,7 @@ def _(t):
     return both.select(F.round(F.col("a") / F.nullif(F.col("b"), F.lit(0)), 6).alias("integrity"))
 
 
-@query("q3_coherence", f"""WITH c AS ({_PICK.format(k=100)}), e AS {VECTORS.format("(SELECT doc_id AS id, text FROM c)")}, n AS (SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY doc_id) AS z FROM c),
+@query("q3_coherence_j14", f"""WITH c AS ({_PICK.format(k=100)}), e AS {VECTORS.format("(SELECT doc_id AS id, text FROM c)")}, n AS (SELECT doc_id AS a, lead(doc_id) OVER (ORDER BY doc_id) AS z FROM c),
 s AS (SELECT n.a, coalesce((SELECT {_COS} FROM e a JOIN e b ON a.b = b.b WHERE a.id = n.a AND b.id = n.z), 0) AS s FROM n WHERE z IS NOT NULL), m AS (SELECT avg(s) AS m FROM s)
 SELECT round(m, 5) AS coherence, round(CASE WHEN m <= 0 OR m >= 1 THEN 0 WHEN m < 0.4 THEN m / 0.4 WHEN m <= 0.6 THEN 1 ELSE (1 - m) / 0.4 END, 5) AS normal FROM m""")
 def _(t):

@@ -109,6 +109,22 @@ def _(t):
     return search.listed_first(neighbours(t, 6), said).select("query_id", "id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("f7_min_score", _KNN + """, x AS (SELECT query_id, id, rank, round(1.0 / (1 + abs(lb - la)) + sim / 10, 9) AS s FROM r WHERE rank <= 25), y AS (SELECT query_id, id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank FROM x)
+SELECT query_id, id, round(s, 6) AS similarity FROM y WHERE rank <= 5 AND s >= 0.6""")
+def _(t):
+    e = t("embeddings")
+    near = neighbours(t, 25).join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), "query_id").join(e.select(F.col("vec_id").alias("id"), F.col("label").alias("lb")), "id")
+    ranked = search.rerank(near, F.round(1.0 / (1 + F.abs(F.col("lb") - F.col("la"))) + F.col("similarity") / 10, 9), 5)
+    return search.page(ranked, 0, 5, 0.6).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("x2_reranker", "SELECT doc_id, round((length(text) % 97) / 97.0 + CASE WHEN contains(text, 'en') THEN 1 ELSE 0 END, 9) AS score FROM documents")
+def _(t):
+    # a scorer as a plug-in: any function of queries and texts
+    of = search.scored(lambda queries, texts: [len(x) % 97 / 97 + (q in x) for q, x in zip(queries, texts, strict=True)])
+    return t("documents").select("doc_id", F.round(of(F.lit("en"), F.col("text")), 9).alias("score"))
+
+
 @query("r14_postfilter", _KNN + """, x AS (SELECT query_id, id, sim, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM r WHERE rank <= 20 AND lb = la) SELECT query_id, id, round(sim, 6) AS similarity, rank FROM x WHERE rank <= 5""")
 def _(t):
     e = t("embeddings")

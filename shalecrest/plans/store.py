@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import os
+import subprocess
 import uuid
 
 from pyspark.sql import functions as F
 
+from shalecrest import serving
 from shalecrest.functions import text as tx
 from shalecrest.operators import index, rules
+from shalecrest.operators.embedding import embedded
 from shalecrest.plans.chunks import _NAMED, _WINDOWS, doc_chunks, named
 from shalecrest.plans.registry import query
+from shalecrest.plans.retrieval import VECTORS
+from shalecrest.sources import readers
 from shalecrest.streaming.events import shared
 
 _ID = "substr(sha256(text), 1, 16)"
@@ -254,3 +261,87 @@ def _(t):
 def _(t):
     d = t("documents").select("doc_id", "lang")
     return d.where("lang = 'en'").select("doc_id", F.lit("english").alias("set")).unionByName(d.join(t("labels"), "doc_id", "left_semi").select("doc_id", F.lit("judged").alias("set")))
+
+
+def _engine(t) -> serving.Engine:
+    """An engine over an index of the documents."""
+    rows = t("documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("source").alias("file"), F.array("lang").alias("tags"))
+    store = index.Store(t("region").sparkSession, place(t, "store"))
+    store.write(embedded(rows, "text"), "hashing", 64)
+    return serving.Engine(store)
+
+
+_ASKED = "the ing retition of thand enter"
+
+
+@query("x9_x10_engine_search", f"""WITH d AS {VECTORS.format("(SELECT doc_id AS id, text FROM documents WHERE lang IN ('en', 'fr'))")}, q AS {VECTORS.format(f"(SELECT 0 AS id, '{_ASKED}' AS text)")}, s AS (SELECT d.id, round(sum(q.x * d.x), 9) AS sim FROM q JOIN d ON d.b = q.b GROUP BY d.id)
+SELECT rank, round(sim, 6) AS similarity FROM (SELECT sim, row_number() OVER (ORDER BY sim DESC) AS rank FROM s) WHERE rank > 5 AND rank <= 15""")
+def _(t):
+    found = _engine(t).search(_ASKED, 10, offset=5, tags=["en", "fr"])
+    return found.select(F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("x9_x10_engine_files", "SELECT source AS file, count(*) AS chunks FROM documents GROUP BY source")
+def _(t):
+    return _engine(t).list_files()
+
+
+@query("t10_daemon", "SELECT 0 AS request, 'chunks' AS key, CAST((SELECT count(*) FROM documents) AS VARCHAR) AS value UNION ALL SELECT 0, 'files', CAST((SELECT count(DISTINCT source) FROM documents) AS VARCHAR) UNION ALL SELECT 1, 'error', 'JSONDecodeError' UNION ALL SELECT 2, 'id', (SELECT CAST(min_by(doc_id, (source, CAST(doc_id AS VARCHAR))) AS VARCHAR) FROM documents WHERE contains(source, '1'))")
+def _(t):
+    """Requests as lines of JSON, and what each answer says."""
+    out = []
+    for n, line in enumerate(_engine(t).serve(['{"op": "stats"}', "{broken", '{"op": "browse", "path": "1", "limit": 1}'])):
+        said = json.loads(line)
+        row = said["rows"][0] if "rows" in said else {"error": said["error"].split(":")[0]}
+        out += [(n, k, str(v)) for k, v in row.items() if k in ("chunks", "files", "error", "id")]
+    return t("region").sparkSession.createDataFrame(out, "request int, key string, value string")
+
+
+@query("s1_s2_x4_folder", "SELECT sha256(n_name || chr(10)) AS revision FROM nation")
+def _(t):
+    path = place(t, "files")
+    t("nation").select("n_nationkey", F.col("n_name").alias("value")).repartition(1).write.partitionBy("n_nationkey").text(path)
+    return readers.Folder(t("nation").sparkSession, path.removeprefix("file://")).files().select("revision")
+
+
+def _repository(t) -> tuple[readers.Repository, str]:
+    """A repository of the nations' names, a file each, in two commits, and a change that isn't committed; with the first commit's id."""
+    path = place(t, "repository").removeprefix("file://")
+    os.makedirs(path)
+    git = lambda *args: subprocess.run(["git", "-C", path, "-c", "user.name=x", "-c", "user.email=x@example.org", "-c", "commit.gpgsign=false", *args], check=True, capture_output=True)
+    rows = t("nation").orderBy("n_nationkey").collect()
+
+    def put(key: int, text: str) -> None:
+        with open(f"{path}/{key}.txt", "w") as f:
+            f.write(text)
+
+    git("init", "-q")
+    for r in rows[:20]:
+        put(r.n_nationkey, r.n_name)
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    repo = readers.Repository(t("nation").sparkSession, path)
+    first = repo.revision()
+    for r in rows[10:]:
+        put(r.n_nationkey, r.n_name + "!")
+    for r in rows[:5]:
+        os.remove(f"{path}/{r.n_nationkey}.txt")
+    git("add", "-A")
+    git("commit", "-qm", "second")
+    put(rows[7].n_nationkey, "changed")
+    put(99, "new")
+    return repo, first
+
+
+_BLOB = "sha1('blob ' || strlen(c) || chr(0) || c)"
+
+
+@query("s4_s5_s8_git_files", f"WITH n AS (SELECT n_nationkey AS k, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), f AS (SELECT k, CASE WHEN i = 7 THEN 'changed' WHEN i >= 10 THEN n_name || '!' ELSE n_name END AS c FROM n WHERE i >= 5 UNION ALL SELECT 99, 'new') SELECT k || '.txt' AS path, {_BLOB} AS revision FROM f")
+def _(t):
+    return _repository(t)[0].files().select("path", "revision")
+
+
+@query("s6_git_changes", "WITH n AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation) SELECT k || '.txt' AS path, CASE WHEN i < 5 THEN 'deleted' WHEN i < 20 THEN 'modified' ELSE 'added' END AS status FROM n WHERE i < 5 OR i >= 10")
+def _(t):
+    repo, first = _repository(t)
+    return repo.changed_since(first)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from shalecrest.llm import bpe, chat, codec, common, embeddings, packing, pii, quality, simhash, urls, words, wrappers
 
@@ -86,7 +87,7 @@ def merged(ranks, b):
 
 
 def test_pairs_are_those_of_the_merges():
-    t = bpe.encoder(bpe.default_vocabulary()).fst
+    t = bpe.encoder(bpe.vocabulary()).fst
     rng = random.Random(2)
     ids = [i for i in range(3000) if merged(t.ranks, t.bytes_of[i]) == [i]]
     assert [i for i in range(3000) if len(t.bytes_of[i]) == 1 or t.left[i] >= 0] == ids
@@ -100,7 +101,7 @@ def test_transducer_on_strange_texts():
     import public_tokenizers
     import tiktoken
 
-    e = bpe.Encoder(bpe.default_vocabulary(), kept=50)  # begins anew all the time
+    e = bpe.Encoder(bpe.vocabulary(), kept=50)  # begins anew all the time
     e.fst.most = 200
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=e.fst.ranks, special_tokens={})
     rng = random.Random(1)
@@ -623,13 +624,36 @@ def test_a_cell_of_copies_is_divided(spark):
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 
-    docs = odd
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        if name != "packing":
-            assert out.columns == odd.columns
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-    kept = [r.doc_id for r in spark.read.parquet(str(tmp_path / "near_duplicates")).collect()]
-    assert 1 in kept and 2 not in kept and 7 not in kept and None in kept
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    for docs, rows in ((odd, True), (odd.withColumn("extra", F.create_map(F.lit("a"), F.lit(1))), True), (odd.limit(0), False)):
+        columns = docs.columns
+        at = tmp_path / f"{len(columns)}{rows}"
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "packing":
+                assert out.columns == columns
+            out.write.parquet(str(at / name))
+            docs = spark.read.parquet(str(at / name))
+        kept = [r.doc_id for r in spark.read.parquet(str(at / "near_duplicates")).collect()]
+        assert (1 in kept and 2 not in kept and 7 not in kept and None in kept) if rows else not kept
+        assert sorted(map(str, {d for r in docs.collect() for d in r.doc_ids})) == sorted(map(str, set(kept)))
+
+
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(docs)
+    good, _ = em_by_loops([quality.votes(pa.array([docs[i]]))[0].tolist() for i in ids])
+    ids = [i for i, q in zip(ids, good) if q >= 0.5]
+    planes = words.directions(simhash.BITS, 7)
+    prints = np.concatenate([np.packbits(words.sketch(pa.array([docs[i]])) @ planes > 0, axis=1) for i in ids])
+    gone = set()
+    group = list(range(len(ids)))  # the least place that is reached
+    for _ in ids:
+        for k in range(len(ids)):
+            near = np.flatnonzero(np.bitwise_count(prints ^ prints[k]).sum(axis=1) <= 45)
+            group[k] = min(group[n] for n in near)
+    gone = {i for k, i in enumerate(ids) if group[k] != k}
+    w = pii.weights()
+    rows = [(i, pii.redact(docs[i], pii.label([docs[i]], w)[0])) for i in ids if i not in gone]
+    assert packs(corpus_pipeline.run(spark, SF)) == packed_by_brute_force(rows, 2048, 16, 1 << 22)
