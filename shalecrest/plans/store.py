@@ -6,6 +6,7 @@ import json
 import os
 import subprocess
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import functions as F
 
@@ -27,6 +28,14 @@ def place(t, name: str) -> str:
     return f"{shared(t('region').sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted(path: str) -> str:
+    """The path at which git finds a folder; the shared one must be mounted, git reads no object store."""
+    parts = urlsplit(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"git can't read {path}")
+    return parts.path
+
+
 @query("u1_upsert", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS balance FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer")
 def _(t):
     base = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
@@ -301,12 +310,12 @@ def _(t):
 def _(t):
     path = place(t, "files")
     t("nation").select("n_nationkey", F.col("n_name").alias("value")).repartition(1).write.partitionBy("n_nationkey").text(path)
-    return readers.Folder(t("nation").sparkSession, path.removeprefix("file://")).files().select("revision")
+    return readers.Folder(t("nation").sparkSession, path).files().select("revision")
 
 
 def _repository(t) -> tuple[readers.Repository, str]:
     """A repository of the nations' names, a file each, in two commits, and a change that isn't committed; with the first commit's id."""
-    path = place(t, "repository").removeprefix("file://")
+    path = mounted(place(t, "repository"))
     os.makedirs(path)
     git = lambda *args: subprocess.run(["git", "-C", path, "-c", "user.name=x", "-c", "user.email=x@example.org", "-c", "commit.gpgsign=false", *args], check=True, capture_output=True)
     rows = t("nation").orderBy("n_nationkey").collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import os
 import subprocess
 import uuid
@@ -24,8 +25,8 @@ def files(spark: SparkSession, root: str, exclude: list[str] | None = None, incl
     without content have no row, as Spark's reader passes over them.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace(F.col("path"), r"^(?:file:/*)?/?", "/")
-    rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
+    # Spark gives paths of the local disk with a scheme, whether root has one or not
+    rel = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(re.sub("^file:/+", "/", root).rstrip("/")) + 2, 1 << 30)
     out = raw.select(rel.alias("path"), F.sha2("content", 256).alias("revision"), "content")
     for g in exclude or []:
         out = out.where(~F.col("path").rlike(glob_regex(g)))

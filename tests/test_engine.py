@@ -54,6 +54,7 @@ def test_folder(spark, tmp_path):
     (tmp_path / "b.log").write_text("two")
     f = readers.Folder(spark, str(tmp_path), exclude=["**/*.log"])
     known = f.files()
+    assert readers.Folder(spark, f"file:{tmp_path}", exclude=["**/*.log"]).files().collect() == known.collect()
     assert [r.path for r in known.collect()] == ["x/a.txt"] and f.read("x/a.txt", 1, 9) == b"ne"
     kept = spark.createDataFrame(known.collect())
     before = f.revision()

@@ -121,3 +121,11 @@ def test_sources(spark, tmp_path):
     h = readers.History(spark, str(tmp_path / "runs"), keep=2)
     h.save(spark.createDataFrame([(i, random.random(), "eval") for i in range(5)], "id int, mrr double, kind string"))
     assert [r["id"] for r in h.list("eval").collect()] == [4, 3] and h.latest("eval")["id"] == 4
+
+
+def test_mounted():
+    from shalecrest.plans import store
+
+    assert store.mounted("/a/b") == store.mounted("file:/a/b") == store.mounted("file:///a/b") == "/a/b"
+    with pytest.raises(ValueError):
+        store.mounted("hdfs://host/a")
