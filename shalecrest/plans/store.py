@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shalecrest import serving
 from shalecrest.functions import text as tx
-from shalecrest.operators import index, rules
+from shalecrest.operators import evaluation, index, rules
 from shalecrest.operators.embedding import embedded
 from shalecrest.plans.chunks import _NAMED, _WINDOWS, doc_chunks, named
 from shalecrest.plans.registry import query
@@ -125,12 +125,7 @@ def _(t):
 s AS (SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) AS n, len(b.w) + len(d.w) AS m FROM b, d), j AS (SELECT item_id, doc_id, round(CASE WHEN m - n = 0 THEN 0.0 ELSE n / CAST(m - n AS DOUBLE) END, 9) AS sim FROM s)
 SELECT item_id, doc_id, sim FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim, doc_id) AS rn FROM j WHERE item_id <> doc_id) WHERE rn = 1 AND sim <= 0.3""")
 def _(t):
-    # the passages are the queries; each document meets all of them where it is
-    b = t("benchmark").select("item_id", tx.token_set(F.col("text")).alias("b"))
-    d = t("documents").select("doc_id", tx.token_set(F.col("text")).alias("d"))
-    sim = d.join(b, F.col("item_id") != F.col("doc_id")).select("item_id", "doc_id", F.round(tx.jaccard(F.col("b"), F.col("d")), 9).alias("sim"))
-    best = sim.groupBy("item_id").agg(F.min(F.struct("sim", "doc_id")).alias("m"))
-    return best.select("item_id", "m.doc_id", "m.sim").where("sim <= 0.3")
+    return evaluation.least_alike(t("benchmark"), t("documents")).where("sim <= 0.3")
 
 
 @query("j19_files_chunks_revisions", f"""WITH {_STORED} SELECT d.source, d.n AS chunks, s.revision FROM (SELECT source, count(*) AS n FROM documents GROUP BY source) d LEFT JOIN (SELECT source, max(id) AS revision FROM s WHERE toxic = 1 GROUP BY source) s ON s.source = d.source""")

@@ -129,3 +129,40 @@ def test_mounted():
     assert store.mounted("/a/b") == store.mounted("file:/a/b") == store.mounted("file:///a/b") == "/a/b"
     with pytest.raises(ValueError):
         store.mounted("hdfs://host/a")
+
+
+def test_least_alike_is_brute_force(spark):
+    rng = random.Random(5)
+    text = lambda n, words=60: " ".join(f"w{rng.randrange(words):02d}X" for _ in range(n))
+    docs = [(i, text(rng.randrange(1, 80), 12 if i % 3 else 60)) for i in range(900)] + [(5000, None), (None, "abc"), (5001, "")]
+    docs = [(i, x and x + " common") for i, x in docs]  # no pair has similarity 0 but those with the empty text
+    items = [(i * 7, text(20) + " Common") for i in range(60)] + [(3, ""), (4, None), (None, "abc"), (7, "abc common")]
+    words = lambda x: {w for w in x.lower().split() if len(w) > 2}
+    want = {}
+    for i, x in items:
+        for d, y in docs:
+            if None not in (i, x, d, y) and i != d:
+                a, b = words(x), words(y)
+                s = round(len(a & b) / max(len(a | b), 1), 9)
+                want[i] = min(want.get(i, (2, 0)), (s, d))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for small in (8 << 20, 2000):  # in one part, and in several
+        got = {r["item_id"]: (r["sim"], r["doc_id"]) for r in evaluation.least_alike(b, d, small=small).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert all(abs(v[0] - want[k][0]) < 2e-9 for k, v in got.items())
+
+
+def test_distractors_need_not_form_all_pairs(spark, tmp_path):
+    from shalecrest import plans
+
+    for t, n in (("benchmark", 400), ("documents", 4000)):
+        k = "item_id" if t == "benchmark" else "doc_id"
+        # half of the items share a word with all documents
+        rows = spark.range(n).select((F.col("id") + 1).alias(k), F.concat(F.when(F.col("id") % 2 == 0, "shared ").otherwise("" if t == "benchmark" else "shared "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(150)), lambda i: F.concat(F.lit(t[0] * 3), (F.col("id") * 31 + i).cast("string"))), " ")).alias("text"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    import time
+
+    at = time.time()
+    assert plans.QUERIES["j18_distractors"](spark, str(tmp_path)).count() == 400
+    assert time.time() - at < 30
