@@ -79,9 +79,13 @@ def expanded(queries: DataFrame, mean: str, calls: str, most: int = 10) -> DataF
     return queries.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.least(F.col(calls), F.lit(most)).cast("int")))).drop("_n")
 
 
+#: A number of the text format of metrics, with an exponent of either case.
+_NUMBER = r"(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[+-]?Inf|NaN)"
+
+
 def metric_means(texts: DataFrame, text: str, name: str) -> DataFrame:
     """(series, n, mean): of each series of a text of metrics its sum over its count, where that is above 0."""
-    values = lambda what: texts.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?m)^{name}_{what}(\{{[^}}]*\}}\s+[0-9.e+]+)"), F.lit(1))).alias("x")).select(F.regexp_extract("x", r"^(\{[^}]*\})", 1).alias("series"), F.regexp_extract("x", r"\s([0-9.e+]+)$", 1).cast("double").alias(what))
+    values = lambda what: texts.select(F.explode(F.regexp_extract_all(text, F.lit(rf"(?m)^{name}_{what}(\{{[^}}]*\}}\s+{_NUMBER})"), F.lit(1))).alias("x")).select(F.regexp_extract("x", r"^(\{[^}]*\})", 1).alias("series"), F.regexp_extract("x", rf"\s({_NUMBER})$", 1).cast("double").alias(what))
     return values("sum").join(values("count"), "series").where("count > 0").select("series", F.col("count").alias("n"), (F.col("sum") / F.col("count")).alias("mean"))
 
 
