@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 from shalecrest.functions.text import chunk_id, token_estimate
 
 
+_SPACE = " \t\n\f\r"
+
+
 def paragraphs(docs: DataFrame, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, seq, text, start): the paragraphs that aren't blank, trimmed, with their byte offsets.
 
     Offsets add up over the paragraphs kept, each with its separator. A text without any is one paragraph as it is.
     """
     w = Window.partitionBy("doc_id").orderBy("at")
-    space = r"^\s+|\s+$"
-    whole = F.regexp_replace(F.col(text_col), space, "") == ""
-    split = F.when(whole, F.array(F.col(text_col))).otherwise(F.split(text_col, separator, -1))
-    parts = docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), F.posexplode(split).alias("at", "part")).withColumn("t", F.regexp_replace("part", space, ""))
+    trim = lambda x: F.btrim(x, F.lit(_SPACE))  # noqa: E731 - steps as many as the characters, a regular expression may need their square
+    # what is told of a text comes before its parts are exploded: beside the generator it would be told anew for each part
+    told = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("x"), (trim(F.col(text_col)) == "").alias("whole"))
+    split = F.when(F.col("whole"), F.array("x")).otherwise(F.split("x", separator, -1))
+    parts = told.select("doc_id", "whole", F.posexplode(split).alias("at", "part")).withColumn("t", trim(F.col("part")))
     return parts.where("t <> '' or whole").select(
         "doc_id",
         (F.row_number().over(w) - 1).alias("seq"),

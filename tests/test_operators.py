@@ -166,3 +166,15 @@ def test_distractors_need_not_form_all_pairs(spark, tmp_path):
     at = time.time()
     assert plans.QUERIES["j18_distractors"](spark, str(tmp_path)).count() == 400
     assert time.time() - at < 30
+
+
+def test_paragraphs_of_long_texts(spark):
+    import time
+
+    long, gap = "\n".join(f"line {i} " + "x" * 60 for i in range(30_000)), "a" + " " * 200_000 + "b"
+    docs = spark.createDataFrame([(1, long), (2, gap), (3, " \n "), (4, None), (5, " a  ")], "doc_id long, text string")
+    at = time.time()
+    got = chunking.paragraphs(docs, "\n").orderBy("doc_id", "seq").collect()
+    assert time.time() - at < 30  # the work must not grow with the square of the lines or of the spaces
+    assert [r["text"] for r in got if r["doc_id"] == 1] == long.split("\n") and got[1]["start"] == len(long.split("\n")[0]) + 1
+    assert [(r["doc_id"], r["seq"], r["text"], r["start"]) for r in got[30_000:]] == [(2, 0, gap, 0), (3, 0, " \n ", 0), (5, 0, " a  ", 0)]
