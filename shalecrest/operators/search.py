@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,7 +16,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shalecrest.functions.text import words
-from shalecrest.functions.vectors import cosine
+
+
+def _packed(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    ids, lists = batch.column(0), batch.column(1)
+    size = np.where(np.asarray(lists.is_valid()), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)
+    for d in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == d)
+        x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        whole = np.isfinite(x).all(axis=1)
+        at, x = at[whole], x[whole]
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        own = np.asarray(ids.take(pa.array(at)).to_numpy(zero_copy_only=False), dtype="<i8")
+        for k in range(0, len(own), rows):
+            yield d, own[k : k + rows], x[k : k + rows]
+
+
+def _vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
 
 
 def blocks(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
@@ -27,50 +45,68 @@ def blocks(vectors: DataFrame, id_col: str, vector_col: str, rows: int) -> DataF
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
-            size = np.where(np.asarray(lists.is_valid()), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), 0)
-            for d in np.unique(size[size > 0]).tolist():
-                at = np.flatnonzero(size == d)
-                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-                whole = np.isfinite(x).all(axis=1)
-                at, x = at[whole], x[whole]
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-                own = np.asarray(ids.take(pa.array(at)).to_numpy(zero_copy_only=False), dtype="<i8")
-                for k in range(0, len(own), rows):
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([own[k : k + rows].tobytes()], pa.binary()), pa.array([x[k : k + rows].tobytes()], pa.binary())], ["dim", "ids", "x"])
-
-    src = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
-    return src.mapInArrow(pack, "dim int, ids binary, x binary")
+            for d, own, x in _packed(batch, rows):
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dim", "ids", "x"])
 
+    return _vectors(vectors, id_col, vector_col).mapInArrow(pack, "dim int, ids binary, x binary")
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, rows: int = 2048, small: int = 64 << 20) -> DataFrame:
-    """(query_id, id, similarity, rank): for every query its k nearest by cosine, ties by id. Exact.
 
-    Blocks of queries meet blocks of the corpus of the same length; each pair of blocks keeps k candidates a query, and the best
-    of these are ranked. What is shuffled is k rows a query and block, never all pairs. The corpus stays where it is: queries are
-    broadcast in parts of about ``small`` bytes, one after the other. A vector that is null, or holds a null or NaN, is neither found nor finds anything.
+def _met(queries: DataFrame, corpus: DataFrame, best: Callable, id_col: str, vector_col: str, rows: int, small: int) -> DataFrame:
+    """(query_id, id, similarity) that ``best`` (ids and unit vectors of a block of queries, and of one of the corpus) picks. The corpus stays where it is.
+
+    Queries of up to ``small`` bytes in all are sent out with the function, so a task holds one batch of the corpus at a time, whatever its partition has.
+    More are broadcast as blocks, in parts of about that size, one after the other.
     """
+    out = "query_id long, id long, similarity double"
+    table = lambda qi, ci, v: pa.RecordBatch.from_arrays([pa.array(qi), pa.array(ci), pa.array(v)], ["query_id", "id", "similarity"])
     parts = max(1, -(-8 * (queries.agg(F.sum(F.size(vector_col).cast("long"))).first()[0] or 0) // small))
-    c = blocks(corpus, id_col, vector_col, rows).select("dim", F.col("ids").alias("ci"), F.col("x").alias("cx"))
-
-    def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if parts == 1:
+        by_dim: dict[int, list] = {}
+        for d, i, x in blocks(queries, id_col, vector_col, rows).collect():
+            by_dim.setdefault(d, []).append((np.frombuffer(i, "<i8"), np.frombuffer(x, "<f8").reshape(-1, d)))
+        asked = {d: tuple(np.concatenate(v) for v in zip(*b, strict=True)) for d, b in by_dim.items()}
+
+        def direct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d, ci, cx in _packed(batch, rows):
+                    qi, qx = asked.get(d, ((), ()))
+                    for at in range(0, len(qi), rows):
+                        yield table(*best(qi[at : at + rows], qx[at : at + rows], ci, cx))
+
+        return _vectors(corpus, id_col, vector_col).mapInArrow(direct, out)
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 qi, qx, ci, cx = (batch.column(i)[r].as_py() for i in range(4))
                 qi, ci = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                s = np.round(np.frombuffer(qx, "<f8").reshape(len(qi), -1) @ np.frombuffer(cx, "<f8").reshape(len(ci), -1).T, 12)
-                if exclude_self:
-                    s[qi[:, None] == ci[None]] = -np.inf
-                i, j = _best(s, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ci[j]), pa.array(s[i, j])], ["query_id", "id", "similarity"])
+                yield table(*best(qi, np.frombuffer(qx, "<f8").reshape(len(qi), -1), ci, np.frombuffer(cx, "<f8").reshape(len(ci), -1)))
 
+    c = blocks(corpus, id_col, vector_col, rows).select("dim", F.col("ids").alias("ci"), F.col("x").alias("cx"))
     found = []
     for part in range(parts):
-        mine = queries if parts == 1 else queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part)
+        mine = queries.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == part)
         q = blocks(mine, id_col, vector_col, rows).select("dim", F.col("ids").alias("qi"), F.col("x").alias("qx"))
-        found.append(c.join(F.broadcast(q), "dim").select("qi", "qx", "ci", "cx").mapInArrow(best, "query_id long, id long, similarity double"))
-    return _ranked(reduce(DataFrame.unionByName, found), k)
+        found.append(c.join(F.broadcast(q), "dim").select("qi", "qx", "ci", "cx").mapInArrow(joined, out))
+    return reduce(DataFrame.unionByName, found)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, rows: int = 2048, small: int = 64 << 20) -> DataFrame:
+    """(query_id, id, similarity, rank): for every query its k nearest by cosine, ties by id. Exact.
+
+    Blocks of queries meet blocks of the corpus of the same length; each pair of blocks keeps k candidates a query, and the best
+    of these are ranked. What is shuffled is k rows a query and block, never all pairs. The corpus stays where it is: queries are
+    sent to it, beyond ``small`` bytes in parts. A vector that is null, or holds a null or NaN, is neither found nor finds anything.
+    """
+
+    def best(qi, qx, ci, cx):
+        s = np.round(qx @ cx.T, 12)
+        if exclude_self:
+            s[qi[:, None] == ci[None]] = -np.inf
+        i, j = _best(s, k)
+        return qi[i], ci[j], s[i, j]
+
+    return _ranked(_met(queries, corpus, best, id_col, vector_col, rows, small), k)
 
 
 def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,13 +124,15 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 class Ivf:
     """An inverted file: each vector in the list of its nearest centroid; a query looks into the nearest ``probes``.
 
-    Centroids are fitted by k-means to up to ``sample`` vectors, those of least hash of id; all vectors are indexed. Probes are as many as up to 200 vectors of the
-    sample need for ``target`` of their ten nearest in it.
+    There are ``lists`` lists, or more so that they are of 16 times their number on average: their sizes grow with the root of the rows. Centroids are fitted by k-means to up
+    to ``sample`` vectors, those of least hash of id; all vectors are indexed. Probes are as many as up to 200 vectors of the sample need for ``target`` of their ten nearest in it.
     """
 
     def __init__(self, corpus: DataFrame, lists: int = 16, sample: int = 10_000, target: float = 0.95, rounds: int = 15, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 3):
-        self.id_col, self.vector_col = id_col, vector_col
-        some = corpus.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64(id_col), id_col).limit(sample).toPandas()["v"]
+        self.id_col, self.vector_col, self.corpus = id_col, vector_col, corpus
+        there = corpus.where(F.col(vector_col).isNotNull())
+        lists = max(lists, int((there.count() / 16) ** 0.5))
+        some = there.select(F.col(vector_col).cast("array<double>").alias("v")).orderBy(F.xxhash64(id_col), id_col).limit(sample).toPandas()["v"]
         x = np.array(some.tolist())
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)
@@ -111,25 +149,31 @@ class Ivf:
         # at which probe each of the nearest is met
         at = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)[np.arange(len(q))[:, None], near]
         self.probes = next((p for p in range(1, len(c)) if (at < p).mean() >= target), len(c))
-        self.rows = self._placed(corpus, 1).select(F.element_at("lists", 1).alias("list"), "id", "v")
-
-    def _placed(self, rows: DataFrame, probes: int) -> DataFrame:
-        c = self.centroids
 
-        @F.pandas_udf("array<int>")
-        def near(v: pd.Series) -> pd.Series:
-            s = np.array(v.tolist()) @ c.T
-            return pd.Series(np.argsort(-s, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist())
-
-        return rows.where(F.col(self.vector_col).isNotNull()).select(F.col(self.id_col).alias("id"), F.col(self.vector_col).cast("array<double>").alias("v")).withColumn("lists", near("v"))
-
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, exclude_self: bool = True) -> DataFrame:
-        """(query_id, id, similarity, rank) of the vectors in the probed lists."""
-        q = self._placed(queries, probes or self.probes).select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode("lists").alias("list"))
-        pairs = self.rows.join(q, "list")
-        if exclude_self:
-            pairs = pairs.where("id <> query_id")
-        return _ranked(pairs.select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 12).alias("similarity")), k)
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, exclude_self: bool = True, rows: int = 2048, small: int = 64 << 20) -> DataFrame:
+        """(query_id, id, similarity, rank) of the vectors in the probed lists.
+
+        Vectors stay where they are, and each list of a block is multiplied with the queries that probe it. What is shuffled is k rows a query and block.
+        """
+        c, probes = self.centroids, probes or self.probes
+
+        def best(qi, qx, ci, cx):
+            s = np.full((len(qi), len(ci)), -np.inf)
+            if cx.shape[1] == c.shape[1]:
+                near = qx @ c.T
+                probed = np.zeros(near.shape, bool)
+                np.put_along_axis(probed, np.argsort(-near, axis=1, kind="stable")[:, :probes], True, axis=1)
+                of = (cx @ c.T).argmax(axis=1)
+                for own in np.unique(of):
+                    i, j = np.flatnonzero(probed[:, own]), np.flatnonzero(of == own)
+                    if len(i):
+                        s[np.ix_(i, j)] = np.round(qx[i] @ cx[j].T, 12)
+            if exclude_self:
+                s[qi[:, None] == ci[None]] = -np.inf
+            i, j = _best(s, k)
+            return qi[i], ci[j], s[i, j]
+
+        return _ranked(_met(queries, self.corpus, best, self.id_col, self.vector_col, rows, small), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

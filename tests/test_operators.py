@@ -178,3 +178,20 @@ def test_paragraphs_of_long_texts(spark):
     assert time.time() - at < 30  # the work must not grow with the square of the lines or of the spaces
     assert [r["text"] for r in got if r["doc_id"] == 1] == long.split("\n") and got[1]["start"] == len(long.split("\n")[0]) + 1
     assert [(r["doc_id"], r["seq"], r["text"], r["start"]) for r in got[30_000:]] == [(2, 0, gap, 0), (3, 0, " \n ", 0), (5, 0, " a  ", 0)]
+
+
+def test_ivf_grows_its_lists_and_keeps_its_recall(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20_000, 16))
+    x[:, :4] *= 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    ivf = search.Ivf(df)
+    q = df.where("vec_id % 100 = 0")
+    assert len(ivf.centroids) == 35 and ivf.probes < 35
+    found = ivf.search(q, 10)
+    assert "Join" not in found._jdf.queryExecution().toString()  # pairs of vectors aren't rows, only what is found
+    exact = search.knn(q, df, 10)
+    assert search.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    parts = ivf.search(q, 10, small=20_000)  # queries in several parts
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, found.collect()))
+    assert sorted(map(tuple, search.knn(q, df, 10, small=20_000).collect())) == sorted(map(tuple, exact.collect()))
