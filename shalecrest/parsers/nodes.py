@@ -87,26 +87,33 @@ def parse(files: DataFrame, parsers: dict[str, Parser], by: str = "chunker", id_
     src = files.select(F.col(id_col).alias("id"), F.col(by).cast("string").alias("by"), F.col(content_col).cast("binary").alias("content"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "seq", *[c.split()[0].strip("`") for c in NODE.split(", ")], "error"]
         for batch in batches:
-            ids, rows = [], []
-            for key, which, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if content is None or which not in parsers:
-                    continue
-                try:
-                    found = [(n, *astuple(x), None) for n, x in enumerate(parsers[which](content))]
-                except Exception as e:  # noqa: BLE001 - whatever a parser raises is the file's error
-                    found = [(None, *[None] * len(_KINDS), f"{type(e).__name__}: {e}")]
-                rows += found
-                ids += [key] * len(found)
-                if len(rows) > 20_000:
-                    yield _batch(ids, rows, names, batch.schema.field(0).type)
-                    ids, rows = [], []
-            yield _batch(ids, rows, names, batch.schema.field(0).type)
+            yield from _nodes(batch, parsers)
 
     return src.mapInArrow(run, f"id {kind}, seq int, {NODE}, error string")
 
 
+def _nodes(batch: pa.RecordBatch, parsers: dict[str, Parser], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The nodes of a batch of files, read one at a time; what is held ends with the file that fills ``most`` bytes or 20,000 rows."""
+    names = ["id", "seq", *[c.split()[0].strip("`") for c in NODE.split(", ")], "error"]
+    ids, rows, held = [], [], 0
+    for at in range(batch.num_rows):
+        key, which, content = (batch.column(i)[at].as_py() for i in range(3))
+        if content is None or which not in parsers:
+            continue
+        try:
+            found = [(n, *astuple(x), None) for n, x in enumerate(parsers[which](content))]
+        except Exception as e:  # noqa: BLE001 - whatever a parser raises is the file's error
+            found = [(None, *[None] * len(_KINDS), f"{type(e).__name__}: {e}")]
+        rows += found
+        ids += [key] * len(found)
+        held += len(content)
+        if len(rows) > 20_000 or held > most:
+            yield _batch(ids, rows, names, batch.schema.field(0).type)
+            ids, rows, held = [], [], 0
+    yield _batch(ids, rows, names, batch.schema.field(0).type)
+
+
 def _batch(ids, rows, names, id_type) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(_KINDS) + 2)
     kinds = [pa.int32(), *_KINDS, pa.string()]

@@ -178,3 +178,11 @@ def test_outline(spark):
     rows = [(1, 0, "heading", "One", 1, 0), (1, 1, "heading", "not", 2, 0), (1, 2, "section", None, None, 0), (1, 3, "paragraph", "x", None, 1), (1, 4, "heading", "In", 3, 1), (1, 5, "heading", "second", 1, 1), (1, 6, "heading", "Two", 1, 0)]
     df = spark.createDataFrame(rows, "doc_id long, seq int, kind string, text string, level int, depth int")
     assert chunking.outline(df).first().outline == ["One", "In", "Two"]
+
+
+def test_nodes_are_given_before_they_are_many_bytes():
+    import pyarrow as pa
+
+    files = pa.RecordBatch.from_pydict({"id": list(range(40)), "by": ["x"] * 40, "content": [b"a" * 1000] * 40})
+    got = list(nodes._nodes(files, {"x": nodes.raw}, most=4500))
+    assert max(b.num_rows for b in got) == 5 and [i for b in got for i in b.column(0).to_pylist()] == list(range(40))
