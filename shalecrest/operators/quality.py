@@ -68,10 +68,12 @@ def coherence(rows: DataFrame, order: str, vector: str) -> DataFrame:
 
 def breadcrumb_consistency(chunks: DataFrame, file: str, crumb: str) -> DataFrame:
     """(consistency): the mean over files of the length of what all their breadcrumbs begin with, over the longest; 1 for a file without any."""
-    size = chunks.groupBy(file).agg(F.count("*").alias("n"), F.max(F.size(crumb)).alias("longest"))
-    at = chunks.select(file, F.posexplode(crumb).alias("i", "c")).groupBy(file, "i").agg(F.count("*").alias("k"), F.count_distinct("c").alias("d"))
-    own = at.join(size.select(file, "n"), file).where("k <> n or d > 1").groupBy(file).agg(F.min("i").alias("common"))
-    return size.join(own, file, "left").agg(F.avg(F.when(F.col("longest") <= 0, 1.0).otherwise(F.coalesce("common", "longest") / F.col("longest"))).alias("consistency"))
+    # all begin with what the least and the greatest of them begin with, so one pass over the chunks is enough
+    own = chunks.groupBy(file).agg(F.max(F.size(crumb)).alias("longest"), F.min(crumb).alias("a"), F.max(crumb).alias("b"), F.count_if(F.col(crumb).isNull()).alias("none"))
+    same = F.transform(F.arrays_zip("a", "b"), lambda x: x["a"].eqNullSafe(x["b"]))
+    at = F.array_position(same, False)  # a shorter one is padded with nulls
+    common = F.when(F.col("none") > 0, 0).when(at > 0, at - 1).otherwise(F.col("longest"))
+    return own.agg(F.avg(F.when(F.coalesce("longest", F.lit(0)) <= 0, 1.0).otherwise(common / F.col("longest"))).alias("consistency"))
 
 
 def nearest(rows: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -253,3 +253,11 @@ def test_metric_means_reads_exponents(spark):
     text = 'm_sum{k="a"} 5.9172E7\nm_count{k="a"} 20\nm_sum{k="b"} -2.5e-3\nm_count{k="b"} 1e1\nm_sum{k="c"} 7.5\nm_count{k="c"} 3'
     got = telemetry.metric_means(spark.createDataFrame([(text,)], "x string"), "x", "m")
     assert {r["series"][4]: r["mean"] for r in got.collect()} == {"a": 2958600.0, "b": -0.00025, "c": 2.5}
+
+
+def test_breadcrumbs_read_their_chunks_once(spark):
+    rows = [(1, ["a", "b"]), (1, ["a", "c"]), (2, []), (2, ["a"]), (3, ["x", "y"]), (3, ["x", "y"]), (4, []), (5, ["a", "b"]), (5, ["a"])]
+    d = spark.createDataFrame(rows, "f int, c array<string>").mapInArrow(lambda b: b, "f int, c array<string>")
+    got = quality.breadcrumb_consistency(d, "f", "c")
+    assert got.first()[0] == pytest.approx((0.5 + 0 + 1 + 1 + 0.5) / 5)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("MapInArrow") == 1
