@@ -215,6 +215,24 @@ def test_redundancy_state_spans_batches(spark, tmp_path):
     assert {r.id: r.redundant for r in got} == {1: False, 2: True, 3: False, 4: False}
 
 
+def test_redundancy_of_many_sessions_takes_few_calls(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(k, None if s == 0 else s, t, v.tolist()) for k, (s, t, v) in enumerate(zip(rng.integers(0, 300, 4000).tolist(), rng.integers(1_704_100_000, 1_704_110_000, 4000).tolist(), rng.normal(size=(4000, 3)), strict=True))]
+    rows[7] = (7, 5, 1_704_100_000, [1.0])  # of another length
+    schema, got, want = "id long, session long, ts long, vector array<double>", {}, {}
+    d = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("ts"))
+    for n, part in enumerate(("ts < timestamp_seconds(1704104000)", "ts >= timestamp_seconds(1704104000)")):
+        d.where(part).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        s = spark.readStream.schema(d.schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        q = streams.redundant(s, groups=4).writeStream.option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(lambda b, _: got.update({r.id: (r.session, r.redundant) for r in b.collect()})).start()
+        q.awaitTermination()
+        assert q.lastProgress is None or max(p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators) <= 4
+    for k, s, t, v in rows:
+        cos = lambda w: np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) if len(v) == len(w) else 0  # noqa: B023, E731
+        want[k] = (s, any(s == s2 and (t2, k2) < (t, k) and t2 >= t - 300 and cos(w) > 0.8 for k2, s2, t2, w in rows))
+    assert got == want and any(x for _, x in want.values())
+
+
 def test_shared_folder_is_needed_on_a_cluster(spark):
     class Elsewhere:
         class sparkContext:
