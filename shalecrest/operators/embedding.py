@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")  # the same in a text of ASCII, in less time
 
 
 class Embedder(Protocol):
@@ -30,27 +32,38 @@ class HashingEmbedder:
 
     def __init__(self, dimensions: int = 64, kept: int = 200_000):
         self.dimensions, self.kept = dimensions, kept
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def _place(self, word: str) -> tuple[int, int]:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            h = hashlib.md5(word.encode()).hexdigest()
-            got = self.known[word] = int(h[:4], 16) % self.dimensions, 1 if int(h[4], 16) < 8 else -1
-        return got
+        self.known = _Places(dimensions, kept)
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions))
+        place = self.known.__getitem__
         for row, s in zip(out, texts, strict=True):
-            for w in _WORD.findall(s.lower()):
-                at, sign = self._place(w)
-                row[at] += sign
+            s = s.lower()
+            found = (_ASCII_WORD if s.isascii() else _WORD).findall(s)
+            for at in range(0, len(found), 65_536):
+                n = np.bincount(np.fromiter(map(place, found[at : at + 65_536]), np.int64), minlength=2 * self.dimensions)
+                row += n[: self.dimensions] - n[self.dimensions :]
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
 
+class _Places(dict):
+    """Words to buckets, those of sign minus beyond all others; up to ``kept`` words are known at a time."""
+
+    def __init__(self, dimensions: int, kept: int):
+        self.dimensions, self.kept = dimensions, kept
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.kept:
+            self.clear()
+        h = hashlib.md5(word.encode()).hexdigest()
+        got = self[word] = int(h[:4], 16) % self.dimensions + (0 if int(h[4], 16) < 8 else self.dimensions)
+        return got
+
+    def __reduce__(self):
+        return _Places, (self.dimensions, self.kept)
+
+
 def embedded(rows: DataFrame, text_col: str, out_col: str = "vector", embedder: Embedder | None = None, batch: int = 64) -> DataFrame:
     """``rows`` with the vectors of a text column, in calls of up to ``batch`` texts; a null text has none."""
     e = embedder or HashingEmbedder()

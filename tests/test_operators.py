@@ -1,15 +1,18 @@
+import hashlib
 import math
+import pickle
 import random
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shalecrest.functions import text as tx
 from shalecrest.functions import vectors as v
-from shalecrest.operators import chunking, evaluation, index, rules, search
+from shalecrest.operators import chunking, embedding, evaluation, index, rules, search
 from shalecrest.sources import readers
 
 
@@ -195,3 +198,18 @@ def test_ivf_grows_its_lists_and_keeps_its_recall(spark):
     parts = ivf.search(q, 10, small=20_000)  # queries in several parts
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, found.collect()))
     assert sorted(map(tuple, search.knn(q, df, 10, small=20_000).collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_embedder_counts_words_and_leaves_its_words_here():
+    texts = ["Éa 9x é a9x ½ Ⅷ", "", "a_b A the the", "İstanbul K"]
+    e = embedding.HashingEmbedder(7, kept=3)
+    want = np.zeros((4, 7))
+    for row, s in zip(want, texts, strict=True):
+        for w in regex.findall(r"[\p{L}\p{N}]+", s.lower()):
+            h = hashlib.md5(w.encode()).hexdigest()
+            row[int(h[:4], 16) % 7] += 1 if int(h[4], 16) < 8 else -1
+    n = np.linalg.norm(want, axis=1, keepdims=True)
+    assert (e.embed(texts) == np.divide(want, n, out=want, where=n > 0)).all() and len(e.known) <= 3
+    e = embedding.HashingEmbedder()
+    e.embed([" ".join(f"word{k}" for k in range(50_000))])
+    assert len(e.known) == 50_000 and len(pickle.dumps(e)) < 1000
