@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shalecrest import serving
 from shalecrest.functions import text as tx
 from shalecrest.operators import embedding, evaluation, index, quality, search, telemetry
+from shalecrest.plans import QUERIES
 from shalecrest.plans.store import containing
 from shalecrest.sources import readers
 from shalecrest.streaming import events as streams
@@ -279,3 +280,8 @@ def test_breadcrumbs_read_their_chunks_once(spark):
     got = quality.breadcrumb_consistency(d, "f", "c")
     assert got.first()[0] == pytest.approx((0.5 + 0 + 1 + 1 + 0.5) / 5)
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("MapInArrow") == 1
+
+
+def test_sibling_integrity_walks_once(spark):
+    got = QUERIES["j15_q9_sibling_integrity"](spark, SF)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("MapInArrow") == 1
