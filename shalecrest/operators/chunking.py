@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +17,52 @@ from shalecrest.functions.text import chunk_id, token_estimate
 _SPACE = " \t\n\f\r"
 
 
-def paragraphs(docs: DataFrame, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, seq, text, start): the paragraphs that aren't blank, trimmed, with their byte offsets.
+def paragraphs(docs: DataFrame, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text", around: bool = False) -> DataFrame:
+    """(doc_id, seq, text, start): the paragraphs that aren't blank, trimmed, with their byte offsets; ``around`` adds the texts before and after.
 
-    Offsets add up over the paragraphs kept, each with its separator. A text without any is one paragraph as it is.
+    Offsets add up over the paragraphs kept, each with its separator. A text without any is one paragraph as it is. A row of ``docs`` is a
+    document, split by itself, so nothing is shuffled or sorted: its paragraphs follow each other in order, in the partition it was in.
     """
-    w = Window.partitionBy("doc_id").orderBy("at")
-    trim = lambda x: F.btrim(x, F.lit(_SPACE))  # noqa: E731 - steps as many as the characters, a regular expression may need their square
-    # what is told of a text comes before its parts are exploded: beside the generator it would be told anew for each part
-    told = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("x"), (trim(F.col(text_col)) == "").alias("whole"))
-    split = F.when(F.col("whole"), F.array("x")).otherwise(F.split("x", separator, -1))
-    parts = told.select("doc_id", "whole", F.posexplode(split).alias("at", "part")).withColumn("t", trim(F.col("part")))
-    return parts.where("t <> '' or whole").select(
-        "doc_id",
-        (F.row_number().over(w) - 1).alias("seq"),
-        F.when(F.col("whole"), F.col("part")).otherwise(F.col("t")).alias("text"),
-        F.coalesce(F.sum(F.octet_length("part") + len(separator)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _by_bytes(batch, "text"):
+                yield _split(some, separator, around)
+
+    return rows.mapInArrow(run, f"doc_id {kind}, seq int, text string, start long" + (", before string, after string" if around else ""))
+
+
+def _by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of up to ``most`` bytes of a column, or of one row."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(), dtype=np.int64), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _split(docs: pa.RecordBatch, separator: str, around: bool) -> pa.RecordBatch:
+    blank = lambda x: pc.equal(pc.binary_length(pc.ascii_trim(x, _SPACE)), 0).to_numpy(zero_copy_only=False)
+    texts = docs.column("text")
+    lists = pc.split_pattern(texts, separator)
+    parts, of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+    kept = ~blank(parts)
+    text, of = pc.ascii_trim(parts.filter(kept), _SPACE), of[kept]
+    size = pc.binary_length(parts.filter(kept)).to_numpy().astype(np.int64) + len(separator.encode())
+    whole = np.flatnonzero(blank(texts))
+    if len(whole):
+        order = np.argsort(np.concatenate([of, whole]), kind="stable")
+        text = pa.concat_arrays([text, texts.take(pa.array(whole))]).take(pa.array(order))
+        of, size = np.concatenate([of, whole])[order], np.concatenate([size, np.zeros(len(whole), np.int64)])[order]
+    n = np.arange(len(of))
+    first = np.searchsorted(of, of)  # where each one's document begins
+    before = np.cumsum(size) - size
+    columns = [docs.column("doc_id").take(pa.array(of)), pa.array((n - first).astype(np.int32)), text, pa.array(before - before[first])]
+    if around:
+        columns += [text.take(pa.array(n - 1, mask=n == first)), text.take(pa.array(n + 1, mask=n + 1 == np.searchsorted(of, of, "right")))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "seq", "text", "start", "before", "after"][: len(columns)])
 
 
 @dataclass
@@ -113,7 +143,8 @@ class Walk:
             if x["kind"] == "heading" and x["text"] is not None:
                 crumb = [*crumb[: max((x["level"] or 1) - 1, 0)], x["text"]]
             elif x["text"] and x["kind"] not in ("heading", "image", "link"):
-                s = Segment(x["text"], x["kind"], crumb, *(x.get(k) if x.get(k) is not None else d for k, d in (("start", 0), ("end", 0), ("line_start", None), ("line_end", None), ("page", None), ("language", None))))
+                get = x.get
+                s = Segment(x["text"], x["kind"], crumb, get("start") or 0, get("end") or 0, get("line_start"), get("line_end"), get("page"), get("language"))
                 yield from self.divided(s) if self.recursive else [s]
 
     def divided(self, s: Segment) -> Iterator[Segment]:
@@ -187,29 +218,39 @@ class Walk:
 CHUNK = "chunk int, text string, crumb array<string>, start long, `end` long, line_start int, line_end int, page_start int, page_end int, language string, truncated boolean"
 
 
-def walk(nodes: DataFrame, how: Walk | None = None, id_col: str = "doc_id") -> DataFrame:
+def walk(nodes: DataFrame, how: Walk | None = None, id_col: str = "doc_id", in_order: bool = False) -> DataFrame:
     """(id, chunk, text, crumb, start, end, line_start, line_end, page_start, page_end, language, truncated) of the nodes of documents.
 
     nodes: id, seq, kind, text and what else ``Node`` has. They are sorted by document once and read as a stream, a
-    document of any length too; only a chunk's nodes are held.
+    document of any length too; only a chunk's nodes are held. Nodes that are ``in_order``, each document's one after the other in a
+    partition as ``paragraphs`` gives them, are read as they lie.
     """
     how = how or Walk()
-    return _streamed(nodes, id_col, CHUNK, lambda rows: ((n, w.text, w.first.crumb, w.first.start, w.end, w.line_start, w.line_end, w.page_start, w.page_end, w.language, w.truncated) for n, w in enumerate(how.windows(how.segments(rows)))))
+    return _streamed(nodes, id_col, CHUNK, lambda rows: ((n, w.text, w.first.crumb, w.first.start, w.end, w.line_start, w.line_end, w.page_start, w.page_end, w.language, w.truncated) for n, w in enumerate(how.windows(how.segments(rows)))), in_order)
 
 
-def segments(nodes: DataFrame, how: Walk | None = None, id_col: str = "doc_id") -> DataFrame:
+def segments(nodes: DataFrame, how: Walk | None = None, id_col: str = "doc_id", in_order: bool = False) -> DataFrame:
     """(id, n, text, kind, crumb, start, end): the segments of documents in the order of reading."""
     how = how or Walk()
-    return _streamed(nodes, id_col, "n int, text string, kind string, crumb array<string>, start long, `end` long", lambda rows: ((n, s.text, s.kind, s.crumb, s.start, s.end) for n, s in enumerate(how.segments(rows))))
+    return _streamed(nodes, id_col, "n int, text string, kind string, crumb array<string>, start long, `end` long", lambda rows: ((n, s.text, s.kind, s.crumb, s.start, s.end) for n, s in enumerate(how.segments(rows))), in_order)
 
 
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-def _streamed(nodes: DataFrame, id_col: str, schema: str, make: Callable[[Iterable[dict]], Iterable[tuple]]) -> DataFrame:
+def _values(column: pa.Array) -> list:
+    """As ``to_pylist``, in less time for strings and for what has no nulls."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or (not column.null_count and pa.types.is_integer(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
+def _streamed(nodes: DataFrame, id_col: str, schema: str, make: Callable[[Iterable[dict]], Iterable[tuple]], in_order: bool = False) -> DataFrame:
     fields = [f.split() for f in schema.split(", ")]
     names = ["id", *(f[0].strip("`") for f in fields)]
-    src = nodes.withColumnRenamed(id_col, "id").repartition("id").sortWithinPartitions("id", "seq")
+    src = nodes.withColumnRenamed(id_col, "id")
+    if not in_order:
+        src = src.repartition("id").sortWithinPartitions("id", "seq")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list = [None, *(_ARROW[f[1]] for f in fields)]
@@ -218,7 +259,8 @@ def _streamed(nodes: DataFrame, id_col: str, schema: str, make: Callable[[Iterab
         def rows() -> Iterator[dict]:
             for batch in batches:
                 kinds[0] = batch.schema.field("id").type
-                yield from batch.to_pylist()
+                for values in zip(*map(_values, batch.columns), strict=True):
+                    yield dict(zip(batch.schema.names, values, strict=True))
 
         source = rows()
         row = next(source, None)
@@ -289,10 +331,10 @@ def transformed(chunks: DataFrame, f: Callable[[DataFrame], DataFrame], key: str
     return chunks.transform(f).where(F.col(key).isNotNull())
 
 
-def pack(parts: DataFrame, max_tokens: int) -> DataFrame:
+def pack(parts: DataFrame, max_tokens: int, in_order: bool = False) -> DataFrame:
     """(doc_id, chunk, first, last, n_tokens, text): paragraphs in order, a new chunk where the next one would exceed the limit.
 
-    Paragraphs are sorted by document and read as a stream; only the open chunk is held.
+    Paragraphs are sorted by document, unless they are ``in_order``, and read as a stream; only the open chunk is held.
     """
 
     def make(rows: Iterable[dict]) -> Iterator[tuple]:
@@ -308,7 +350,7 @@ def pack(parts: DataFrame, max_tokens: int) -> DataFrame:
         if texts:
             yield made, first, last, n, "\n\n".join(texts)
 
-    return _streamed(parts.select("doc_id", "seq", "text"), "doc_id", "chunk int, first int, last int, n_tokens long, text string", make)
+    return _streamed(parts.select("doc_id", "seq", "text"), "doc_id", "chunk int, first int, last int, n_tokens long, text string", make, in_order)
 
 
 def linked(chunks: DataFrame, seq: str = "chunk") -> DataFrame:

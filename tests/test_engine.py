@@ -285,3 +285,15 @@ def test_breadcrumbs_read_their_chunks_once(spark):
 def test_sibling_integrity_walks_once(spark):
     got = QUERIES["j15_q9_sibling_integrity"](spark, SF)
     assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("MapInArrow") == 1
+
+
+def initial_plan(name, spark):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+@pytest.mark.parametrize(("name", "passes"), [("a13_size_histogram", 1)])
+def test_lines_are_read_as_they_lie(spark, name, passes):
+    plan = initial_plan(name, spark)
+    below = plan[plan.index("MapInArrow") :]
+    below = below[: below.index("FileScan")]
+    assert below.count("MapInArrow") == passes and not any(x in below for x in ("Exchange", "Sort", "Window", "Generate"))

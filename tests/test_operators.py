@@ -213,3 +213,32 @@ def test_embedder_counts_words_and_leaves_its_words_here():
     e = embedding.HashingEmbedder()
     e.embed([" ".join(f"word{k}" for k in range(50_000))])
     assert len(e.known) == 50_000 and len(pickle.dumps(e)) < 1000
+
+
+def initial_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.none() | st.text("a\n \t\x0bé日.", max_size=40), min_size=1, max_size=12), st.sampled_from(["\n", "\n\n"]))
+def test_paragraphs_of_each_document_alone(spark, texts, sep):
+    space, want = " \t\n\f\r", []
+    for i, s in enumerate(texts):
+        if s is not None and not s.strip(space):
+            want.append((i, 0, s, 0, None, None))
+        elif s is not None:
+            kept = [x for x in s.split(sep) if x.strip(space)]
+            t = [None, *(x.strip(space) for x in kept), None]
+            want += [(i, n, t[n + 1], sum(len((x + sep).encode()) for x in kept[:n]), t[n], t[n + 2]) for n in range(len(kept))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    got = chunking.paragraphs(docs, sep, around=True)
+    assert [tuple(r) for r in got.collect()] == want  # in order as they lie
+    assert not any(x in initial_plan(got) for x in ("Exchange", "Sort"))
+
+
+def test_batches_are_split_by_bytes():
+    import pyarrow as pa
+
+    texts = ["a" * 5, None, "é" * 4, "", "b" * 30, "c"]
+    parts = list(chunking._by_bytes(pa.RecordBatch.from_arrays([pa.array(texts)], ["x"]), "x", 13))
+    assert [p.column(0).to_pylist() for p in parts] == [["a" * 5, None, "é" * 4, ""], ["b" * 30], ["c"]]
