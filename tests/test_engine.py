@@ -297,3 +297,8 @@ def test_lines_are_read_as_they_lie(spark, name, passes):
     below = plan[plan.index("MapInArrow") :]
     below = below[: below.index("FileScan")]
     assert below.count("MapInArrow") == passes and not any(x in below for x in ("Exchange", "Sort", "Window", "Generate"))
+
+
+def test_ids_rather_than_texts_are_shuffled_for_links(spark):
+    plan = initial_plan("c12_sibling_links", spark)
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("sha2")
