@@ -57,8 +57,10 @@ def _(t):
 
 @query("a12_cohesion_report", f"""WITH {_PARTS} SELECT d.lang, count(*) AS n, CAST(round(avg(length(p.text))) AS BIGINT) AS avg_length, round(avg(CASE WHEN regexp_matches(p.text, '[.!?]\\s*$') THEN 1.0 ELSE 0 END), 6) AS sentence_ends FROM p JOIN documents d USING (doc_id) GROUP BY d.lang""")
 def _(t):
-    p = lines(t).join(t("documents").select("doc_id", "lang"), "doc_id")
-    return p.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.length("text"))).cast("long").alias("avg_length"), F.round(F.avg(F.col("text").rlike(r"[.!?\n]\s*$").cast("double")), 6).alias("sentence_ends"))
+    # a document's lines are counted before its language is joined, so that no text is shuffled
+    own = lines(t).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.count_if(F.col("text").rlike(r"[.!?\n]\s*$")).alias("ends"))
+    p = own.join(t("documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("n", "size", "ends")])
+    return p.select("lang", "n", F.round(F.col("size") / F.col("n")).cast("long").alias("avg_length"), F.round(F.col("ends") / F.col("n"), 6).alias("sentence_ends"))
 
 
 @query("a13_size_histogram", f"""WITH {_PARTS}, b(lo, hi) AS (VALUES (0, 200), (200, 500), (500, 1000), (1000, 2000), (2000, 2000000000))

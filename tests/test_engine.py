@@ -302,3 +302,8 @@ def test_lines_are_read_as_they_lie(spark, name, passes):
 def test_ids_rather_than_texts_are_shuffled_for_links(spark):
     plan = initial_plan("c12_sibling_links", spark)
     assert plan.count("Exchange") == 1 and plan.index("Exchange") < plan.index("sha2")
+
+
+def test_lines_are_counted_before_the_join(spark):
+    plan = initial_plan("a12_cohesion_report", spark)
+    assert plan.index("Join") < plan.index("keys=[doc_id") < plan.index("MapInArrow")
