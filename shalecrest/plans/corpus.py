@@ -50,9 +50,8 @@ def _(t):
 @query("r18_context", f"""WITH {_PARTS}, w AS (SELECT doc_id, seq, text, lag(text) OVER (PARTITION BY doc_id ORDER BY seq) AS a, lead(text) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM p)
 SELECT doc_id, seq, length(concat_ws(chr(10) || '---' || chr(10), a, text, b)) AS n FROM w WHERE a IS NOT NULL OR b IS NOT NULL""")
 def _(t):
-    w = Window.partitionBy("doc_id").orderBy("seq")
-    p = lines(t).select("doc_id", "seq", "text", F.lag("text").over(w).alias("a"), F.lead("text").over(w).alias("b"))
-    return p.where("a is not null or b is not null").select("doc_id", F.col("seq").cast("long").alias("seq"), F.length(F.concat_ws("\n---\n", "a", "text", "b")).cast("long").alias("n"))
+    p = chunking.paragraphs(t("documents"), "\n", around=True).where("before is not null or after is not null")
+    return p.select("doc_id", F.col("seq").cast("long").alias("seq"), F.length(F.concat_ws("\n---\n", "before", "text", "after")).cast("long").alias("n"))
 
 
 @query("a12_cohesion_report", f"""WITH {_PARTS} SELECT d.lang, count(*) AS n, CAST(round(avg(length(p.text))) AS BIGINT) AS avg_length, round(avg(CASE WHEN regexp_matches(p.text, '[.!?]\\s*$') THEN 1.0 ELSE 0 END), 6) AS sentence_ends FROM p JOIN documents d USING (doc_id) GROUP BY d.lang""")
