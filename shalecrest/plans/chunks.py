@@ -43,7 +43,7 @@ f AS (SELECT doc_id, seq, kind, text, CASE WHEN kind = 'heading' THEN [text] ELS
   UNION ALL SELECT n.doc_id, n.seq, n.kind, n.text, {_CRUMB} FROM f JOIN n ON n.doc_id = f.doc_id AND n.seq = f.seq + 1)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS n, kind, array_to_string(bc, ' > ') AS crumb, length(text) AS size FROM f WHERE kind <> 'heading' AND text <> ''""")
 def _(t):
-    return chunking.segments(doc_nodes(t)).select("doc_id", F.col("n").cast("long").alias("n"), "kind", F.array_join("crumb", " > ").alias("crumb"), F.length("text").cast("long").alias("size"))
+    return chunking.segments(doc_nodes(t), in_order=True).select("doc_id", F.col("n").cast("long").alias("n"), "kind", F.array_join("crumb", " > ").alias("crumb"), F.length("text").cast("long").alias("size"))
 
 
 @query("c2_outline", f"WITH {_NODES} SELECT doc_id, string_agg(text, '|' ORDER BY seq) AS outline FROM n WHERE kind = 'heading' AND level = 1 GROUP BY doc_id")
@@ -82,7 +82,7 @@ c AS (SELECT doc_id, win AS chunk, bc, start, CASE WHEN joined THEN next_end ELS
 
 
 def doc_chunks(t):
-    return chunking.walk(doc_nodes(t), chunking.Walk(_MOST, adaptive=True))
+    return chunking.walk(doc_nodes(t), chunking.Walk(_MOST, adaptive=True), in_order=True)
 
 
 @query("c5_c6_c8_c13_windows", f"""WITH RECURSIVE {_WINDOWS} SELECT doc_id, chunk, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", CAST(coalesce(line_start, -1) AS BIGINT) AS line_start, CAST(coalesce(line_end, -1) AS BIGINT) AS line_end, CAST(coalesce(page_start, -1) AS BIGINT) AS page_start, CAST(coalesce(page_end, -1) AS BIGINT) AS page_end, truncated, substr(sha256(text), 1, 16) AS id FROM c""")
