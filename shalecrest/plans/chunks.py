@@ -61,7 +61,7 @@ def _cut(most: int, text: str = "text") -> str:
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) - 1 AS n, CAST(off AS BIGINT) AS "start", CAST(off + strlen(piece) AS BIGINT) AS "end", substr(sha256(piece), 1, 16) AS id FROM f""")
 def _(t):
     parts = lines(t).select("doc_id", "seq", "text", "start", (F.col("start") + F.octet_length("text")).alias("end"), F.lit("paragraph").alias("kind"), F.lit(None).cast("int").alias("level"))
-    return chunking.segments(parts, chunking.Walk(64, recursive=True)).select("doc_id", F.col("n").cast("long").alias("n"), "start", "end", F.substring(F.sha2("text", 256), 1, 16).alias("id"))
+    return chunking.segments(parts, chunking.Walk(64, recursive=True), in_order=True).select("doc_id", F.col("n").cast("long").alias("n"), "start", "end", F.substring(F.sha2("text", 256), 1, 16).alias("id"))
 
 
 _MOST = 128
