@@ -38,7 +38,7 @@ f AS (SELECT doc_id, seq, 0 AS chunk, n AS held FROM n WHERE seq = 0
   UNION ALL SELECT n.doc_id, n.seq, CASE WHEN f.held + n.n <= 256 THEN f.chunk ELSE f.chunk + 1 END, CASE WHEN f.held + n.n <= 256 THEN f.held + n.n ELSE n.n END FROM f JOIN n ON n.doc_id = f.doc_id AND n.seq = f.seq + 1)
 SELECT f.doc_id, CAST(f.chunk AS BIGINT) AS chunk, CAST(min(f.seq) AS BIGINT) AS "first", CAST(max(f.seq) AS BIGINT) AS "last", CAST(sum(n.n) AS BIGINT) AS n_tokens FROM f JOIN n ON n.doc_id = f.doc_id AND n.seq = f.seq GROUP BY f.doc_id, f.chunk""")
 def _(t):
-    return chunking.pack(lines(t), 256).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", "first", "last", "n_tokens")])
+    return chunking.pack(lines(t), 256, in_order=True).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("chunk", "first", "last", "n_tokens")])
 
 
 @query("c12_sibling_links", f"""WITH {_PARTS}, h AS (SELECT doc_id, seq, substr(sha256(text), 1, 16) AS id FROM p)
