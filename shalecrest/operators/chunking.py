@@ -17,21 +17,32 @@ from shalecrest.functions.text import chunk_id, token_estimate
 _SPACE = " \t\n\f\r"
 
 
-def paragraphs(docs: DataFrame, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text", around: bool = False) -> DataFrame:
+def paragraphs(docs: DataFrame, separator: str = "\n\n", id_col: str = "doc_id", text_col: str = "text", around: bool = False, nested: bool = False) -> DataFrame:
     """(doc_id, seq, text, start): the paragraphs that aren't blank, trimmed, with their byte offsets; ``around`` adds the texts before and after.
 
     Offsets add up over the paragraphs kept, each with its separator. A text without any is one paragraph as it is. A row of ``docs`` is a
     document, split by itself, so nothing is shuffled or sorted: its paragraphs follow each other in order, in the partition it was in.
+    ``nested``: they are made as an array beside the document and then rows, rather than in a pass of their own over the table.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    made = "seq int, text string, start long" + (", before string, after string" if around else "")
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in _by_bytes(batch, "text"):
                 yield _split(some, separator, around)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, seq int, text string, start long" + (", before string, after string" if around else ""))
+    @F.arrow_udf(f"array<struct<{made}>>")
+    def own(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in texts:
+            n = np.arange(len(part) + 1)
+            of, *columns = _split(pa.RecordBatch.from_arrays([pa.array(n[:-1]), part], ["doc_id", "text"]), separator, around).columns
+            items = pa.StructArray.from_arrays(columns, [f.split()[0] for f in made.split(", ")])
+            yield pa.ListArray.from_arrays(pa.array(np.searchsorted(of.to_numpy(), n).astype(np.int32)), items)
+
+    return rows.select("doc_id", F.inline(own("text"))) if nested else rows.mapInArrow(run, f"doc_id {kind}, {made}")
 
 
 def _by_bytes(batch: pa.RecordBatch, column: str, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:

@@ -20,10 +20,10 @@ n AS (SELECT doc_id, seq, start, start + strlen(text) AS "end", CASE WHEN seq %
 _CRUMB = "CASE WHEN n.kind = 'heading' THEN list_append(f.bc[1:n.level - 1], n.text) ELSE f.bc END"
 
 
-def doc_nodes(t):
+def doc_nodes(t, nested=False):
     x, head = F.col("text"), F.col("seq") % 6 == 0
     n = F.octet_length(x)
-    return lines(t).select(
+    return lines(t, nested).select(
         "doc_id",
         "seq",
         "start",
@@ -81,8 +81,8 @@ c AS (SELECT doc_id, win AS chunk, bc, start, CASE WHEN joined THEN next_end ELS
     CASE WHEN joined THEN text || chr(10) || chr(10) || next_text ELSE text END AS text, truncated FROM k WHERE NOT coalesce(gone, false))"""
 
 
-def doc_chunks(t):
-    return chunking.walk(doc_nodes(t), chunking.Walk(_MOST, adaptive=True), in_order=True)
+def doc_chunks(t, nested=False):
+    return chunking.walk(doc_nodes(t, nested), chunking.Walk(_MOST, adaptive=True), in_order=True)
 
 
 @query("c5_c6_c8_c13_windows", f"""WITH RECURSIVE {_WINDOWS} SELECT doc_id, chunk, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", CAST(coalesce(line_start, -1) AS BIGINT) AS line_start, CAST(coalesce(line_end, -1) AS BIGINT) AS line_end, CAST(coalesce(page_start, -1) AS BIGINT) AS page_start, CAST(coalesce(page_end, -1) AS BIGINT) AS page_end, truncated, substr(sha256(text), 1, 16) AS id FROM c""")

@@ -15,9 +15,9 @@ p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS
   CAST(coalesce(sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM y WHERE text <> '' OR whole)"""
 
 
-def lines(t):
+def lines(t, nested=False):
     """The documents' lines that aren't blank."""
-    return chunking.paragraphs(t("documents"), "\n")
+    return chunking.paragraphs(t("documents"), "\n", nested=nested)
 
 
 _TOKENS = "CAST(ceil(strlen(text) / 4.0) AS BIGINT)"

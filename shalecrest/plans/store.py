@@ -116,7 +116,7 @@ def _(t):
 
     # of the chunks only those of good documents are in the index
     good = t("labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    chunks = chunking.assembled(doc_chunks(t)).join(good, "doc_id", "left")
+    chunks = chunking.assembled(doc_chunks(t, nested=True)).join(good, "doc_id", "left")
     # a chunk and its links in one pass: each with whether it is in the index, and how many links it is
     at = lambda id, there, n: F.struct(F.col(id).alias("id"), F.coalesce(there, F.lit(False)).alias("there"), F.lit(n).alias("n"))
     each = chunks.select(F.inline(F.array(at("id", F.col("good"), 0), at("prev", F.lit(False), 1), at("next", F.lit(False), 1)))).where("id is not null")

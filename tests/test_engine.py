@@ -291,7 +291,7 @@ def initial_plan(name, spark):
     return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
 
 
-@pytest.mark.parametrize(("name", "passes"), [("a13_size_histogram", 1), ("r18_context", 1), ("q4_coverage", 2), ("c4_divided", 2)])
+@pytest.mark.parametrize(("name", "passes"), [("a13_size_histogram", 1), ("q4_coverage", 2), ("c4_divided", 2), ("q5_completeness", 2), ("c5_packed_chunks", 2), ("r18_context", 1)])
 def test_lines_are_read_as_they_lie(spark, name, passes):
     plan = initial_plan(name, spark)
     below = plan[plan.index("MapInArrow") :]

@@ -234,6 +234,7 @@ def test_paragraphs_of_each_document_alone(spark, texts, sep):
     got = chunking.paragraphs(docs, sep, around=True)
     assert [tuple(r) for r in got.collect()] == want  # in order as they lie
     assert not any(x in initial_plan(got) for x in ("Exchange", "Sort"))
+    assert chunking.paragraphs(docs, sep, around=True, nested=True).collect() == got.collect()
 
 
 def test_batches_are_split_by_bytes():
