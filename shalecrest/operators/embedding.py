@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,13 +36,29 @@ class HashingEmbedder:
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimensions))
-        place = self.known.__getitem__
-        for row, s in zip(out, texts, strict=True):
+        place, bins = self.known.__getitem__, 2 * self.dimensions
+        first, counts, places = 0, [], []  # what isn't added up yet: of which texts, how many words each, and the words' buckets
+
+        def add() -> None:
+            n = np.fromiter(places, np.int64, len(places)) + np.repeat(np.arange(len(counts)) * bins, counts)
+            n = np.bincount(n, minlength=len(counts) * bins).reshape(-1, bins)
+            out[first : first + len(counts)] += n[:, : self.dimensions] - n[:, self.dimensions :]
+
+        for k, s in enumerate(texts):
             s = s.lower()
             found = (_ASCII_WORD if s.isascii() else _WORD).findall(s)
-            for at in range(0, len(found), 65_536):
-                n = np.bincount(np.fromiter(map(place, found[at : at + 65_536]), np.int64), minlength=2 * self.dimensions)
-                row += n[: self.dimensions] - n[self.dimensions :]
+            for at in range(0, len(found) or 1, 65_536):
+                some = found[at : at + 65_536]
+                if first + len(counts) > k:  # a text goes on
+                    counts[-1] += len(some)
+                else:
+                    counts.append(len(some))
+                places.extend(map(place, some))
+                if len(places) >= 65_536 or len(counts) >= 1024:
+                    add()
+                    first, counts, places = k + (at + 65_536 >= len(found)), [], []
+        if counts:
+            add()
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, n, out=out, where=n > 0)
 
@@ -68,12 +84,16 @@ def embedded(rows: DataFrame, text_col: str, out_col: str = "vector", embedder:
     """``rows`` with the vectors of a text column, in calls of up to ``batch`` texts; a null text has none."""
     e = embedder or HashingEmbedder()
 
-    @F.pandas_udf("array<double>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            texts = part.dropna()
-            got = [v for at in range(0, len(texts), batch) for v in e.embed(texts.iloc[at : at + batch].tolist())]
-            yield pd.Series(got, index=texts.index, dtype=object).reindex(part.index)
+            there = part.is_valid().to_numpy(zero_copy_only=False)
+            texts = part.drop_null()
+            got = [np.asarray(e.embed(texts.slice(at, batch).to_pylist()), np.float64) for at in range(0, len(texts), batch)]
+            sizes = np.zeros(len(part), np.int64)
+            sizes[there] = [m.shape[1] for m in got for _ in range(len(m))]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate([m.ravel() for m in got]) if got else np.zeros(0)), mask=pa.array(~there))
 
     return rows.withColumn(out_col, of(F.col(text_col)))
 

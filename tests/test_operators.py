@@ -243,3 +243,16 @@ def test_batches_are_split_by_bytes():
     texts = ["a" * 5, None, "é" * 4, "", "b" * 30, "c"]
     parts = list(chunking._by_bytes(pa.RecordBatch.from_arrays([pa.array(texts)], ["x"]), "x", 13))
     assert [p.column(0).to_pylist() for p in parts] == [["a" * 5, None, "é" * 4, ""], ["b" * 30], ["c"]]
+
+
+def test_embedder_adds_up_many_texts_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, n)) for n in [*rng.integers(0, 30, 1500), 70_000, 0, 140_000, 65_536, 3]]
+    e, calls, real = embedding.HashingEmbedder(16), [], np.bincount
+    want = np.concatenate([e.embed([s]) for s in texts])
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert (e.embed(texts) == want).all() and len(calls) < 12
+    monkeypatch.undo()
+    few = [*texts[:3], None, ""]
+    got = embedding.embedded(spark.createDataFrame(list(enumerate(few)), "n int, x string"), "x", embedder=e, batch=2).orderBy("n").collect()
+    assert [r["vector"] for r in got] == [None if s is None else e.embed([s])[0].tolist() for s in few]
